@@ -84,9 +84,9 @@ r as (
   select *, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) as shown from p),
 q as (
   select *, coalesce(sum(case when nth > n then length(shown) else 0 end)
-                     over (partition by conv_id, side order by nth rows between unbounded preceding and 1 preceding), 0) as at from r),
+                     over (partition by conv_id, side order by nth rows between unbounded preceding and 1 preceding), 0) as gone from r),
 z as (select *, case when nth > n and role = 'assistant'
-        then cast(at + 13 + length(role) as bigint)::varchar || ':' || cast(at + length(shown) - 1 as bigint)::varchar end as span from q)
+        then cast(gone + 13 + length(role) as bigint)::varchar || ':' || cast(gone + length(shown) - 1 as bigint)::varchar end as span from q)
 select conv_id, cast(max(n) as bigint) as n_prefix,
   coalesce(string_agg(shown, '' order by nth) filter (where side = 'c' and nth <= n), '') as prompt,
   coalesce(string_agg(shown, '' order by nth) filter (where side = 'c' and nth > n), '') as chosen,

@@ -2,8 +2,10 @@
 
 One weight a word is shared by all thresholds: P(grade > k) = sigmoid(w.x - t_k), with t_1 < t_2 <
 t_3. Labels tell only toxic from clean; the grades to learn are made from them: 0 is clean, and
-toxic texts get 1 (mild), 2 or 3 (severe) by the share of their words that the labels show to be
-typical of toxic texts, cut at the thirds of that share over the labelled toxic texts.
+toxic texts get 1 (mild), 2 or 3 (severe) by the number of their words that the labels show to be
+typical of toxic texts, cut at the thirds of that number over the labelled toxic texts.
+
+Features are words and the first four and five letters of words, which inflected words share.
 """
 
 from __future__ import annotations
@@ -25,6 +27,13 @@ LABELLED = 20_000
 #: Words that become features at most, those that tell toxic from clean texts best.
 WORDS = 2_000
 GRADES = 3
+#: Least root of the likelihood ratio statistic of a word against the label, in standard errors.
+SURE = 3.5
+
+#: Letters at the start of a word that are features too.
+STEMS = (4, 5)
+#: Words whose features a worker remembers before it starts anew.
+REMEMBERED = 500_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -33,15 +42,36 @@ def word_counts(text: str | None) -> Counter:
     return Counter(_WORD.findall((text or "").lower()))
 
 
+def names(word: str) -> list[str]:
+    """The features of a word."""
+    return [word] + ["^" + word[:n] for n in STEMS if len(word) >= n]
+
+
 @dataclass
 class Model:
     vocabulary: dict[str, int]
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def above(self, counts: Counter) -> np.ndarray:
-        """P(grade > k) for k from 0; a text without known words has the least of all grades."""
-        z = sum(self.weights[self.vocabulary[w]] * np.log1p(counts[w]) for w in self.vocabulary.keys() & counts.keys())
+    def __post_init__(self) -> None:
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def counts(self, words: Counter) -> dict[int, int]:
+        """How often each feature occurs."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        out: dict[int, int] = {}
+        for word, n in words.items():
+            own = self.known.get(word)
+            if own is None:
+                own = self.known[word] = tuple(self.vocabulary[x] for x in names(word) if x in self.vocabulary)
+            for i in own:
+                out[i] = out.get(i, 0) + n
+        return out
+
+    def above(self, words: Counter) -> np.ndarray:
+        """P(grade > k) for k from 0; a text without known features has the least of all grades."""
+        z = sum(self.weights[i] * np.log1p(n) for i, n in sorted(self.counts(words).items()))
         return 1 / (1 + np.exp(np.clip(self.thresholds - z, -500, 500)))
 
 
@@ -76,11 +106,11 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grade
     return w, first + np.concatenate([[0], np.cumsum(np.exp(gaps))])
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, words: int = WORDS, least: int = 5, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, words: int = WORDS, least: int = 3, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """A model from labelled texts, or None if the labels don't hold both toxic and clean ones.
 
-    ``labels``: doc_id and toxic. At most about ``labelled`` rows are used; their ids, the chosen
-    words and the sparse counts of those words are all that reaches the driver. Labels without an
+    ``labels``: doc_id and toxic. At most about ``labelled`` rows are used; the chosen features
+    and their sparse counts in those rows are all that reaches the driver. Labels without an
     id, a verdict or a document don't count; of several for an id the highest does.
     """
     one = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("_toxic"))
@@ -91,34 +121,37 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, words: int
     n1, n0 = sum(n for t, n in sizes.items() if t), sizes.get(0, 0)
     if not n1 or not n0:
         return None
-    held = text.select("_toxic", F.explode(F.array_distinct(F.expr(r"regexp_extract_all(_text, '[\\p{L}\\p{M}]+', 0)"))).alias("word")).groupBy("word").agg(F.sum(F.when(F.col("_toxic") > 0, 1).otherwise(0)).alias("a"), F.count("*").alias("n")).where(F.col("n") >= least)
-    odds = F.log((F.col("a") + 0.5) / (n1 - F.col("a") + 0.5)) - F.log((F.col("n") - F.col("a") + 0.5) / (n0 - F.col("n") + F.col("a") + 0.5))
-    spread = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("n") - F.col("a") + 0.5))
-    best = held.withColumn("z", odds / spread).where(F.abs("z") >= 4).orderBy(F.abs("z").desc(), "word").limit(words).collect()
+    stems = [F.transform(F.filter("_words", lambda w: F.length(w) >= n), lambda w: F.concat(F.lit("^"), F.substring(w, 1, n))) for n in STEMS]  # noqa: B023
+    words_of = F.array_distinct(F.expr(r"regexp_extract_all(_text, '[\\p{L}]+', 0)"))
+    held = text.select("_toxic", words_of.alias("_words")).select("_toxic", F.explode(F.array_distinct(F.concat("_words", *stems))).alias("word")).groupBy("word").agg(F.sum(F.when(F.col("_toxic") > 0, 1).otherwise(0)).alias("a"), F.count("*").alias("n")).where(F.col("n") >= least)
+    n, part = n1 + n0, lambda seen, of, n_words: F.when(seen > 0, seen * F.log(seen * (n1 + n0) / (F.lit(float(of)) * n_words))).otherwise(0.0)
+    a, w = F.col("a"), F.col("n")
+    g = 2 * (part(a, n1, w) + part(w - a, n0, w) + part(n1 - a, n1, n - w) + part(n0 - w + a, n0, n - w))
+    z = F.sqrt(F.greatest(g, F.lit(0.0))) * F.signum(a * n - w * n1)
+    best = held.withColumn("z", F.round(z, 9)).where(F.abs("z") >= SURE).orderBy(F.abs("z").desc(), "word").limit(words).collect()
     if not best:
         return None
     vocabulary = {r["word"]: i for i, r in enumerate(best)}
+    reader = Model(vocabulary, np.zeros(len(best)), np.zeros(GRADES))
     typical = np.array([r["z"] > 0 for r in best])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, of, total = [], [], []
+            at, of = [], []
             for body in batch.column(1).to_pylist():
-                counts = word_counts(body)
-                own = sorted((vocabulary[w], counts[w]) for w in vocabulary.keys() & counts.keys())
+                own = sorted(reader.counts(word_counts(body)).items())
                 at.append([i for i, _ in own])
                 of.append([c for _, c in own])
-                total.append(sum(counts.values()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(of, pa.list_(pa.int32())), pa.array(total, pa.int64())], names=["toxic", "at", "of", "total"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(of, pa.list_(pa.int32()))], names=["toxic", "at", "of"])
 
-    taken = text.orderBy("_id").select("_toxic", "_text").mapInArrow(count, "toxic int, at array<int>, of array<int>, total long").toArrow().to_pydict()
-    toxic, total = np.array(taken["toxic"]), np.maximum(taken["total"], 1)
+    taken = text.orderBy("_id").select("_toxic", "_text").mapInArrow(count, "toxic int, at array<int>, of array<int>").toArrow().to_pydict()
+    toxic = np.array(taken["toxic"])
     rows = np.repeat(np.arange(len(toxic)), [len(a) for a in taken["at"]])
     columns = np.array([i for a in taken["at"] for i in a], np.int64)
     counts = np.array([c for o in taken["of"] for c in o], float)
-    dense = np.bincount(rows, counts * typical[columns], len(toxic)) / total
-    cuts = np.quantile(dense[toxic > 0], [i / GRADES for i in range(1, GRADES)])
-    grades = np.where(toxic > 0, 1 + np.searchsorted(cuts, dense, "left"), 0)
+    typed = np.bincount(rows, counts * typical[columns], len(toxic))
+    cuts = np.quantile(typed[toxic > 0], [i / GRADES for i in range(1, GRADES)])
+    grades = np.where(toxic > 0, 1 + np.searchsorted(cuts, typed, "left"), 0)
     return Model(vocabulary, *fit_ordinal(rows, columns, np.log1p(counts), grades, len(vocabulary)))
 
 
@@ -138,12 +171,8 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.5, id_col:
             n = batch.num_rows
             over = np.zeros((n, GRADES))
             if model:
-                known = model.vocabulary.keys()
-                blank = model.above(Counter())
                 for i, text in enumerate(batch.column(1)):
-                    words = _WORD.findall((text.as_py() or "").lower())
-                    met = known & set(words)
-                    over[i] = model.above(Counter(w for w in words if w in met)) if met else blank
+                    over[i] = model.above(word_counts(text.as_py()))
             each = np.concatenate([np.ones((n, 1)), over], axis=1) - np.concatenate([over, np.zeros((n, 1))], axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(over.sum(axis=1)), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(over[:, 0]), pa.array(over[:, 0] >= threshold)], names=["doc_id", "expected_severity", "severity", "p_toxic", "toxic"])
 
