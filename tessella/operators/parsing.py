@@ -34,12 +34,11 @@ def explicit(s: Column, options: str = "[ABCD]") -> Column:
     return F.coalesce(F.when(F.regexp_like(bare, F.lit(f"(?i)^({options})$")), bare), *forms)
 
 
-def option_text(s: Column, options: Column, clean=T.collapsed) -> Column:
-    """The key of the option (a map) whose text occurs, the one that occurs last of several.
+def option_text(body: Column, options: Column) -> Column:
+    """The key of the option (a map) whose text occurs in a normalised text, the one that occurs last of several.
 
     Of options that end at one place the first key is taken.
     """
-    body = clean(s)
     entries = F.array_sort(F.map_entries(options))
     places = F.transform(entries, lambda e: F.struct(T.last_position(body, T.collapsed(e["value"])).alias("at"), e["key"].alias("key"), (F.length(T.collapsed(e["value"])) > 0).alias("full")))
     hits = F.filter(places, lambda p: p["full"] & (p["at"] > 0))
@@ -53,23 +52,33 @@ def single(s: Column, options: str = "ABCD") -> Column:
     return F.when(F.size(found) == 1, found[0])
 
 
-def mcq(s: Column, options: Column, form: str = "header", title: str = "Final Response", last: str = "D", clean=T.collapsed) -> Column:
-    """Struct of the parsed letter (null if unparsed) and the rule that gave it."""
-    cleaned = T.without_think(s) if form == "tag" else T.without_think_marks(s)
-    final = T.tag(s, "answer") if form == "tag" else T.section(s, title)
+def mcq(s: Column, options: Column, form: str = "header", title: str = "Final Response", last: str = "D", bodies: tuple[Column, Column] | None = None) -> Column:
+    """Struct of the parsed letter (null if unparsed) and the rule that gave it.
+
+    ``bodies``: the normalised final section and cleaned text, where more than lower case and
+    single spaces are asked for (``scopes`` gives what to normalise).
+    """
+    final, cleaned = scopes(s, form, title)
     cls = f"[A-{last}]"
     full = F.nullif(final, F.lit(""))
+    in_final, in_all = bodies or (T.collapsed(full), T.collapsed(cleaned))
     rules = [
         ("answer_section:explicit", F.upper(explicit(final, cls))), ("full_text:explicit", F.upper(explicit(cleaned, cls))),
-        ("answer_section:option_text", option_text(full, options, clean)), ("full_text:option_text", option_text(cleaned, options, clean)),
+        ("answer_section:option_text", option_text(F.nullif(in_final, F.lit("")), options)), ("full_text:option_text", option_text(in_all, options)),
         ("answer_section:single_letter", single(full, f"A-{last}")),
     ]
     return _first(rules)
 
 
+def scopes(s: Column, form: str, title: str = "Final Response") -> tuple[Column, Column]:
+    """The answer section (null without one), and the text without its thoughts or their marks."""
+    if form == "tag":
+        return T.tag(s, "answer"), T.without_think(s)
+    return T.section(s, title), T.without_think_marks(s)
+
+
 def yes_no_maybe(s: Column, form: str = "header", title: str = "Final Response") -> Column:
-    cleaned = T.without_think(s) if form == "tag" else T.without_think_marks(s)
-    final = T.tag(s, "answer") if form == "tag" else T.section(s, title)
+    final, cleaned = scopes(s, form, title)
     cls = "yes|no|maybe"
     words = F.regexp_extract_all(F.lower(F.nullif(final, F.lit(""))), F.lit(r"\b(yes|no|maybe)\b"), F.lit(1))
     return _first([("answer_section:explicit", F.lower(explicit(final, cls))), ("full_text:explicit", F.lower(explicit(cleaned, cls))), ("answer_section:single_word", F.when(F.size(words) == 1, words[0]))])

@@ -46,7 +46,7 @@ def lexical(query_tokens: Column, doc_tokens: Column) -> Column:
 
 def entity_match(query_tokens: Column, names: Column) -> Column:
     """The best share of a name's tokens that the query has."""
-    each = F.transform(F.filter(F.transform(names, tokens), lambda t: F.size(t) > 0), lambda t: F.size(F.array_intersect(query_tokens, t)) / F.size(t))
+    each = F.transform(F.filter(F.transform(names, lambda n: tokens(n)), lambda t: F.size(t) > 0), lambda t: F.size(F.array_intersect(query_tokens, t)) / F.size(t))
     return F.coalesce(F.array_max(each), F.lit(0.0))
 
 

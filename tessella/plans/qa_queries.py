@@ -125,9 +125,12 @@ parsed as (select item_id, gold, coalesce(r1, r2, r3, r4, r5) as pred,
        when r4 is not null then 'full_text:option_text' when r5 is not null then 'answer_section:single_letter' else 'unparsed' end as parse_source from py)"""
 
 
-def parsed(spark, sf_dir, form="header", clean=T.collapsed):
+def parsed(spark, sf_dir, form="header", bodies=None):
     rows = with_options(spark, sf_dir)
-    return rows.withColumn("_p", parsing.mcq(F.col("output"), F.col("options"), form, clean=clean)).select("item_id", "gold", "_p.*")
+    if bodies:
+        final, cleaned = parsing.scopes(F.col("output"), form)
+        rows = rows.withColumns({"_final": bodies(final), "_all": bodies(cleaned)})
+    return rows.withColumn("_p", parsing.mcq(F.col("output"), F.col("options"), form, bodies=(F.col("_final"), F.col("_all")) if bodies else None)).select("item_id", "gold", "_p.*")
 
 
 @query(f"with {PARSED} select item_id, gold, pred, parse_source from parsed")

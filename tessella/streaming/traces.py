@@ -26,7 +26,7 @@ def new_traces(stream: DataFrame, late: str = "1 hour") -> DataFrame:
 
 def event_counts(stream: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Events of each type by tumbling window of ``ts``; late ones are dropped beyond the watermark."""
-    return stream.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def rate(events: DataFrame, seconds: int, by: list[str]) -> DataFrame:
