@@ -1,6 +1,6 @@
 """Queries by name, and the views that they read."""
 
-from . import graph_queries, qa_queries, trace_queries, vector_queries
+from . import graph_queries, io_queries, qa_queries, trace_queries, vector_queries
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "graph_queries", "qa_queries", "trace_queries", "vector_queries"]
+__all__ = ["QUERIES", "SQL", "graph_queries", "io_queries", "qa_queries", "trace_queries", "vector_queries"]
