@@ -25,7 +25,7 @@ SPACE = "▁"
 LOW = float("-inf")
 #: What a character costs that is spelled in bytes: more than any piece but those never to be used.
 BYTES = -100_000.0
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 
 
 class _Known(dict):
@@ -61,38 +61,41 @@ class Vocabulary:
         for i in range(self.size):
             if model.is_control(i) or model.is_unknown(i):
                 self.raw[i] = b""
-        # Where no piece goes across, texts may be cut: before a space mark, and around line feeds.
+        # Where no piece goes across, texts may be cut: before a space mark, around line feeds, and
+        # after word characters before those of these marks that follow none in any piece.
         crosses = [p for p in self.id if SPACE in p.lstrip(SPACE) or "\n" in p and len(p) > 1]
-        self.words = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+") if not crosses else re.compile(r"(?s).+")
+        marks = "".join(c for c in ".,;:!?" if not any(re.search(rf"\w{re.escape(c)}", p) for p in self.id))
+        word = rf"{SPACE}*\w+(?=[{re.escape(marks)}])|" if marks else ""
+        self.words = re.compile(f"\n|{word}{SPACE}*[^{SPACE}\n]+|{SPACE}+") if not crosses else re.compile(r"(?s).+")
         self.known = _Known(self.word)
-        self.reach: dict[str, int] = {}
-        for p in self.id:
-            self.reach[p[0]] = max(self.reach.get(p[0], 1), len(p))
-
-    def steps(self, text: str, at: int) -> Iterator[tuple[int, float]]:
-        """Ends and scores of what can stand at a place: pieces, or else the character in bytes."""
-        found = False
-        for end in range(at + 1, min(len(text), at + self.reach.get(text[at], 1)) + 1):
-            if (score := self.score.get(text[at:end])) is not None:
-                found = found or end == at + 1
-                yield end, score
-        if not found:
-            yield at + 1, BYTES
+        #: The score of each beginning of a piece; LOW for those that aren't pieces themselves.
+        self.beginning: dict[str, float] = {p[:n]: LOW for p in self.id for n in range(1, len(p))} | self.score
 
     def best(self, text: str, start: int, stop: int) -> tuple[list[float], list[int]]:
         """Best scores from ``start`` to each place from there on, and where the last piece begins.
 
-        Pieces begin before ``stop`` and may end after it. Of equal scores the piece that begins
-        first, the longest, is taken.
+        Pieces begin before ``stop`` and may end after it. A character that is no piece is spelled
+        in bytes. Of equal scores the piece that begins first, the longest, is taken.
         """
-        score, back = [LOW] * (len(text) + 1), [-1] * (len(text) + 1)
+        n, look = len(text), self.beginning.get
+        score, back = [LOW] * (n + 1), [-1] * (n + 1)
         score[start] = 0.0
         for at in range(start, stop):
-            if score[at] == LOW:
+            here = score[at]
+            if here == LOW:
                 continue
-            for end, gain in self.steps(text, at):
-                if score[at] + gain > score[end]:
-                    score[end], back[end] = score[at] + gain, at
+            end = at + 1
+            gain = look(text[at:end])
+            if gain is None or gain == LOW:
+                if here + BYTES > score[end]:
+                    score[end], back[end] = here + BYTES, at
+            while gain is not None:
+                if here + gain > score[end]:
+                    score[end], back[end] = here + gain, at
+                end += 1
+                if end > n:
+                    break
+                gain = look(text[at:end])
         return score, back
 
     def trace(self, text: str, start: int, end: int, back: list[int]) -> list[int]:
@@ -289,6 +292,6 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
 
         v = vocabulary(model_path)
         raw = lambda i: b"".join(map(v.raw.__getitem__, i)).replace(b"\xe2\x96\x81", b" ")
-        return pd.Series([None if i is None else v.decode(i) if c == 0 else raw(i) for c, i in zip(chunk, ids, strict=True)])
+        return pd.Series([None if i is None else v.decode(i.tolist()) if c == 0 else raw(i.tolist()) for c, i in zip(chunk, ids, strict=True)])
 
     return encoded.withColumn("text", joined("chunk", "ids"))
