@@ -9,6 +9,7 @@ plan by its length and by its rank among the pieces of that length.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 from .common import staged
 
 CAPACITY = 4096
-#: Words whose ids a worker remembers before it starts anew.
-REMEMBERED = 600_000
+#: Words, and their stems, whose ids a worker remembers before it starts anew.
+WORDS, STEMS = 800_000, 1_200_000
+#: Stems that are encoded together.
+TOGETHER = 4_000
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int64()), ("nth", pa.int64())])
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, nth long"
@@ -32,7 +35,9 @@ class WordEncoder:
 
     The vocabulary's pre-tokenizer never joins characters across white space and its normalizer
     works on the characters of one word, so the ids of a text are the ids of its words in a row.
-    The same holds for a word of letters and the comma or full stop after it.
+    The same holds for a stem, a word of letters alone, and the comma or full stop after it. The
+    ids of a stem end with the first that the vocabulary marks as a word's end, so many stems are
+    encoded as one text.
     """
 
     def __init__(self, path: str) -> None:
@@ -40,43 +45,56 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
         self.stems: dict[str, bytes] = {}
 
+    def encode(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def encode_stems(self, stems: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(stems)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+        if len(cuts) != len(stems) + 1:  # not words of letters after all
+            return self.encode(stems)
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
     def learn(self, words: set[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-        if len(self.stems) > REMEMBERED:
-            self.stems = {}
         plain, stem_of = [], {}
         for word in words:
             stem, tail = (word[:-1], word[-1]) if word[-1] in ",." else (word, "")
-            if stem.isalpha() and "Σ" not in stem:
-                stem_of[word] = (stem.lower(), tail)
+            low = stem if stem.isascii() else unicodedata.normalize("NFC", stem)
+            low = low.lower() if "Σ" not in low else ""  # its lower case depends on what follows
+            if low.isalpha():
+                stem_of[word] = (low, tail)
             else:
                 plain.append(word)
-        new = list({s for pair in stem_of.values() for s in pair if s and s not in self.stems})
-        for into, wanted in ((self.stems, new), (self.known, plain)):
-            for word, got in zip(wanted, self.tokenizer.encode_batch_fast(wanted, add_special_tokens=False), strict=True):
-                into[word] = np.array(got.ids, "<u4").tobytes()
-        self.stems[""] = b""
-        for word, (stem, tail) in stem_of.items():
-            self.known[word] = self.stems[stem] + self.stems[tail]
+        self.known.update(zip(plain, self.encode(plain), strict=True))
+        stems = self.stems
+        new = list({s for s, _ in stem_of.values() if s not in stems})
+        for at in range(0, len(new), TOGETHER):
+            some = new[at : at + TOGETHER]
+            stems.update(zip(some, self.encode_stems(some), strict=True))
+        tails = dict(zip(",.", self.encode([",", "."]), strict=True)) | {"": b""}
+        self.known.update((word, stems[stem] + tails[tail]) for word, (stem, tail) in stem_of.items())
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        if len(self.known) > WORDS:
+            self.known = {"": b""}
+        if len(self.stems) > STEMS:
+            self.stems = {}
         split = [(text or "").replace("\n", " ").split(" ") for text in texts]
+        known = self.known
         fresh: set[str] = set()
         for words in split:
-            fresh.update(words)
-        known = self.known
-        fresh = {w for w in fresh if w not in known}
+            fresh.update(w for w in words if w not in known)
         if fresh:
-            if len(known) > REMEMBERED:  # learn() forgets all words: it needs them all again
-                self.known = {"": b""}
-                fresh = {w for words in split for w in words if w}
             self.learn(fresh)
-        look = self.known.__getitem__
+        look = known.__getitem__
         return [b"".join(map(look, words)) for words in split]
 
 
@@ -254,7 +272,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
     kept: list[Column] = [F.col(c) for c in pieces.columns if c not in ("part", "nth")]
-    ranked = pieces.join(before, ["length", "part"]).withColumn("_at", place("length", F.col("before") + F.col("nth")))
+    ranked = pieces.join(before.hint("merge"), ["length", "part"]).withColumn("_at", place("length", F.col("before") + F.col("nth")))
     return ranked.select(*kept, "_at.sequence_id", "_at.offset")
 
 

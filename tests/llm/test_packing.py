@@ -13,7 +13,7 @@ from tessella.llm import packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, length string, part string"
-ODD = ["", " ", "Hello, World. it's 42 l'été", "a\tb\x0bc\x85d\xa0e\x1cf", "ΟΔΟΣ, ΟΔΟΣ.", "don't 'stop' <|endoftext|> x", "é ́x İstanbul.", "x" * 3000, "日本語 テスト。", "word,. ,a .b a..", "\n\n", "naïve  double  space"]
+ODD = ["", " ", "Hello, World. it's 42 l'été", "a\tb\x0bc\x85d\xa0e\x1cf", "ΟΔΟΣ, ΟΔΟΣ.", "İİ, x İ ŉ ǰ ẖ ΐ ﬁ Ω K क़, क़ x क़क़.", "don't 'stop' <|endoftext|> x", "é ́x İstanbul.", "x" * 3000, "日本語 テスト。", "word,. ,a .b a..", "\n\n", "naïve  double  space"]
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +29,8 @@ def test_word_ids_are_the_tokenizers(plain):
 
 
 def test_word_ids_survive_forgetting(plain, monkeypatch):
-    monkeypatch.setattr(packing, "REMEMBERED", 3)
+    monkeypatch.setattr(packing, "WORDS", 3)
+    monkeypatch.setattr(packing, "STEMS", 3)
     encode = packing.WordEncoder(PATH)
     for _ in range(3):
         for text in ODD:
