@@ -228,5 +228,6 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = 4, see
     # Most fingerprints have no link: only the linked ones are grouped by root.
     held = roots.join(first, "fp")
     rooted = held.join(held.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    named = first.join(rooted, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # Staged, so that both sides of the last join are dealt for it and a hot fingerprint can be split.
+    named = staged(first.join(rooted, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "named")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
