@@ -22,7 +22,7 @@ from .common import staged
 
 CAPACITY = 4096
 #: Words, and their stems, whose ids a worker remembers before it starts anew.
-WORDS, STEMS = 800_000, 1_200_000
+WORDS, STEMS = 300_000, 500_000
 #: Stems that are encoded together.
 TOGETHER = 4_000
 

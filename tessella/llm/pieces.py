@@ -25,7 +25,7 @@ SPACE = "▁"
 LOW = float("-inf")
 #: What a character costs that is spelled in bytes: more than any piece but those never to be used.
 BYTES = -100_000.0
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 
 
 class _Known(dict):
@@ -67,6 +67,7 @@ class Vocabulary:
         marks = "".join(c for c in ".,;:!?" if not any(re.search(rf"\w{re.escape(c)}", p) for p in self.id))
         word = rf"{SPACE}*\w+(?=[{re.escape(marks)}])|" if marks else ""
         self.words = re.compile(f"\n|{word}{SPACE}*[^{SPACE}\n]+|{SPACE}+") if not crosses else re.compile(r"(?s).+")
+        self.gain = np.array([self.score[t] if t in self.score else BYTES if r and r[0] & 0xC0 != 0x80 else 0.0 for t, r in zip(self.texts, self.raw, strict=True)])
         self.known = _Known(self.word)
         #: The score of each beginning of a piece; LOW for those that aren't pieces themselves.
         self.beginning: dict[str, float] = {p[:n]: LOW for p in self.id for n in range(1, len(p))} | self.score
@@ -117,11 +118,7 @@ class Vocabulary:
 
     def total(self, ids: bytes) -> float:
         """The score of the ids of whole words; bytes of one character cost once."""
-        out = 0.0
-        for i in np.frombuffer(ids, np.int32).tolist():
-            raw = self.raw[i]
-            out += self.score[self.texts[i]] if self.texts[i] in self.score else BYTES if raw[0] & 0xC0 != 0x80 else 0.0
-        return out
+        return float(self.gain[np.frombuffer(ids, np.int32)].sum())
 
     def fragments(self, text: str, size: int) -> tuple[int, int]:
         """The first and the last place of a chunk, at least one piece's length from its start, that

@@ -35,7 +35,7 @@ SURE = 3.5
 #: Letters at the start of a word that are features too.
 STEMS = (4, 5)
 #: Words whose features a worker remembers before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
