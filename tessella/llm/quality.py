@@ -197,13 +197,12 @@ def chi2_quantile_share(x: float, k: int) -> float:
     return lo
 
 
-def quality(docs: DataFrame, confidence: float = 0.99999, slack: float = 3.0, steps: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def quality(docs: DataFrame, confidence: float = 0.99999, steps: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The statistics of every document with base_failed, distance and kept.
 
     A document is rejected if it fails the base rules or if its squared Mahalanobis distance to
-    its group's estimate exceeds ``slack`` times the chi-squared quantile of ``confidence``; the
-    slack allows for statistics that aren't normally distributed. Estimates are made from the
-    documents that pass the base rules. Null languages or sources form groups of their own; a
+    its group's estimate exceeds the chi-squared quantile of ``confidence``. Estimates are made from
+    the documents that pass the base rules. Null languages or sources form groups of their own; a
     group none of whose documents pass has no estimate, and no rejections beyond the base rules.
     Repeated rows stay and count as often as they occur. Languages and sources are taken to be
     few: the estimates, of a few hundred bytes a group, are broadcast while they are under
@@ -215,7 +214,7 @@ def quality(docs: DataFrame, confidence: float = 0.99999, slack: float = 3.0, st
     rows = staged(read.withColumns({"g_lang": F.concat(F.lit("="), F.coalesce("lang", F.lit(""))), "g_source": F.concat(F.when(F.col("source").isNull(), "0").otherwise("1"), F.when(F.col("lang").isNull(), "0").otherwise("1"), F.coalesce("source", F.lit("")))}), "stats")
     group = ["g_lang", "g_source"]
     models = mcd_models(rows.where("not base_failed").select(*group, *x), group, x, floors, steps)
-    limit = slack * chi2_quantile(confidence, len(x))
+    limit = chi2_quantile(confidence, len(x))
     scored = rows.join(_small(models, models.count() <= GROUPS), group, "left").withColumn("distance", _distance(x))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= limit)
     return scored.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))

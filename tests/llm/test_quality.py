@@ -77,3 +77,15 @@ def test_quality(spark):
     assert not by[1000]["kept"] and not by[1000]["base_failed"]
     assert [by[i]["base_failed"] for i in (1001, 1002, 1003)] == [True] * 3 and not any(by[i]["kept"] for i in (1001, 1002, 1003))
     assert quality.quality(docs.limit(0)).collect() == []
+
+
+def test_moderate_outliers(spark):
+    """Texts of about two symbols in five words go, of which no symbol more than one a word has to be; ordinary ones stay."""
+    r = random.Random(9)
+    words = lambda n: ["".join(r.choices("abcdefghij", k=r.randint(2, 9))) for _ in range(n)]
+    rows = [(i, " ".join(words(r.randint(60, 400))), "en", "s") for i in range(300)]
+    rows += [(1000 + i, " ".join(w + "#" * (j % 5 < 2) for j, w in enumerate(words(200))), "en", "s") for i in range(5)]
+    got = {x["doc_id"]: x for x in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)).collect()}
+    assert all(got[i]["kept"] for i in range(300))
+    for i in range(1000, 1005):
+        assert not got[i]["base_failed"] and got[i]["distance"] < 90 and not got[i]["kept"], got[i]
