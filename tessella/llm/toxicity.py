@@ -27,8 +27,6 @@ LABELLED = 20_000
 #: Words that become features at most, those that tell toxic from clean texts best.
 WORDS = 2_000
 GRADES = 3
-#: Characters at the start by which labelled texts are taken to be copies.
-ALIKE = 150
 #: Least root of the likelihood ratio statistic of a word against the label, in standard errors.
 SURE = 3.5
 
@@ -119,8 +117,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, words: int
     share = min(1.0, labelled / max(one.count(), 1))
     picked = one.where(F.pmod(F.xxhash64(F.lit(17), "_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     text = staged(docs.join(F.broadcast(picked), F.col(id_col).cast("long") == F.col("_id")).select("_id", "_toxic", F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_text")), "labelled")
-    # Copies would make every word of theirs look typical: of texts that begin alike one counts.
-    alike = text.groupBy(F.xxhash64(F.substring("_text", 1, ALIKE))).agg(F.min("_id").alias("_id")).select("_id")
+    # Copies would make every word of theirs look typical: of equal texts with one verdict one counts.
+    alike = text.groupBy(F.sha2("_text", 256), "_toxic").agg(F.min("_id").alias("_id")).select("_id")
     text = text.join(F.broadcast(alike), "_id", "left_semi")
     sizes = {r["_toxic"]: r["n"] for r in text.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sum(n for t, n in sizes.items() if t), sizes.get(0, 0)

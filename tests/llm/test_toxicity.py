@@ -61,6 +61,20 @@ def test_no_model(spark):
     assert toxicity.toxicity(docs.limit(0), spark.createDataFrame([], "doc_id long, toxic int")).collect() == []
 
 
+def test_texts_with_one_header(spark):
+    """All labelled texts begin with the same 200 characters; exact copies count once a verdict."""
+    r, header = random.Random(12), "one header of a hot source " * 8
+    rows = [made(r, i, i % 4 == 0) for i in range(400)]
+    rows = [(i, header + text, t, s) for i, text, t, s in rows]
+    copies = [(1000 + i, rows[1][1], 0, "x") for i in range(50)]
+    docs = spark.createDataFrame(rows + copies, "doc_id long, text string, toxic int, severity string")
+    labels = spark.createDataFrame([(i, t) for i, _, t, _ in rows[:200] + copies], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert model is not None
+    got = {x["doc_id"]: x["toxic"] for x in toxicity.score(docs, model).collect()}
+    assert all(got[i] == bool(t) for i, _, t, _ in rows)
+
+
 @pytest.mark.skipif(not Path(DATA).exists(), reason="needs the synthetic tables")
 def test_held_out_accuracy(spark):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
