@@ -88,6 +88,28 @@ def test_run_is_its_stages(spark, planted):
     assert len(once) > 50 and np.all([len(x) == 5 for x in once])
 
 
+def slow_similarity(a, b):
+    x, y = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_go(spark):
+    """Copies with 1 to 12 of 200 words changed; those of similarity 0.8 and more go, the others stay."""
+    r, rows, near = random.Random(13), [], set()
+    for i in range(120):
+        text = prose(r, 200)
+        words = text.split()
+        for at in r.sample(range(200), 1 + i % 12):
+            words[at] = prose(r, 2).replace(" ", "")
+        rows += [(2 * i, text, "en", "s", 1), (2 * i + 1, " ".join(words), "en", "s", 1)]
+        if slow_similarity(text, rows[-1][1]) >= 0.8:
+            near.add(2 * i + 1)
+    assert 30 < len(near) < 80
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    kept = {x["doc_id"] for x in corpus_pipeline.dedup_near(spark, docs, "").collect()}
+    assert kept == set(range(240)) - near
+
+
 @pytest.mark.skipif(not Path(DATA).exists(), reason="needs the synthetic tables")
 def test_queries_are_registered(spark):
     names = __spark_entry__.queries()
