@@ -88,6 +88,19 @@ def test_run_is_its_stages(spark, planted):
     assert len(once) > 50 and np.all([len(x) == 5 for x in once])
 
 
+def test_packed_pieces_hold_their_tokens(spark, planted):
+    """The ids of the last stage's pieces, joined, are those of each text."""
+    where, _ = planted
+    docs = spark.read.parquet(f"{where}/documents.parquet").where("doc_id between 200 and 205 or doc_id >= 300")
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {x["doc_id"]: t.encode(x["text"] or "", add_special_tokens=False).ids + [1] for x in docs.collect()}
+    got = defaultdict(list)
+    for x in sorted(corpus_pipeline.pack(spark, docs, where).collect(), key=lambda x: (x["doc_id"], x["piece"])):
+        assert len(x["ids"]) == x["length"]
+        got[x["doc_id"]] += x["ids"]
+    assert got == want
+
+
 def slow_similarity(a, b):
     x, y = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
     return len(x & y) / len(x | y)
