@@ -184,8 +184,8 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def borders(matrices: list[np.ndarray]) -> list[int]:
     """The state at each border of the best way through all chunks, from 0 to 0.
 
-    Prefix products from the left and suffix products from the right meet at each border; of
-    states with equal sums that agree with the border before, the smallest is taken.
+    Sequential: a vector is folded over the matrices from the right, then the states are followed
+    from the left; of states with equal sums that agree with the border before, the smallest is taken.
     """
     k = matrices[0].shape[0]
     after = [np.full(k, LOW) for _ in range(len(matrices) + 1)]
