@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import english_list, filled, stable_pick, word_count
+from tessella.sources.workdir import written
 
 # The relations that are kept.
 KEEP_RELATIONS = [
@@ -170,9 +171,16 @@ def cap_paths(paths: DataFrame, limit: int, priority: DataFrame | None = None) -
             paths = paths.join(flag, F.col(e) == F.col(f"_{e}"), "left")
             first = first | F.col(f"_{e}").isNotNull()
     columns = [c for c in paths.columns if not c.startswith("_")]
-    w = Window.partitionBy("pattern").orderBy(F.col("_first").desc(), key, "i0", "i1", "i2")
-    ranked = paths.withColumn("_first", first).withColumn("_rn", F.row_number().over(w))
-    return ranked.where((F.col("_rn") <= limit) | F.col("_first")).select(*columns)
+    flagged = paths.withColumn("_first", first).withColumn("_key", key)
+    w = Window.partitionBy("pattern").orderBy("_key", "i0", "i1", "i2")
+    # The rank's limit goes below the window, so of the other paths each task ships ``limit`` a pattern.
+    rest = flagged.where("not _first").withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit)
+    if priority is None:
+        return rest.select(*columns)
+    ahead = flagged.where("_first")
+    filled_by = F.broadcast(ahead.groupBy("pattern").agg(F.count("*").alias("_n")))  # one row a pattern
+    rest = rest.join(filled_by, "pattern", "left").where(F.col("_rn") + F.coalesce("_n", F.lit(0)) <= limit)
+    return ahead.select(*columns).unionByName(rest.select(*columns))
 
 
 def _picked(templates: Column, key: Column) -> Column:
@@ -202,16 +210,20 @@ def verbalize_paths(paths: DataFrame) -> DataFrame:
     return paths.join(rows, "pattern", "left").withColumn("description", filled(template, e0=F.col("e0"), e1=F.col("e1"), e2=F.col("e2"))).select(*paths.columns, "description")
 
 
-def dense_ordinal(df: DataFrame, order: list[str], name: str = "ordinal", partitions: int = 32) -> DataFrame:
+def dense_ordinal(df: DataFrame, order: list[str], name: str = "ordinal") -> DataFrame:
     """Numbers from 0 in the total order of ``order``, without bringing the rows to one task.
 
-    Rows are dealt by range; each range is numbered on its own and moved on by the rows before it.
+    Rows are dealt by range, as many ranges as the session has shuffle partitions, and sorted there.
+    They are written once with their range and place, since a range is drawn by sampling and would
+    not be the same in a second run of the plan; each place is moved on by the rows in the ranges
+    before it. Rows that tie in ``order`` get numbers in any order. The job runs at the call.
     """
-    dealt = df.repartitionByRange(partitions, *order).withColumn("_range", F.spark_partition_id())
-    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    place = F.monotonically_increasing_id()  # range number * 2**33 + place in it
+    dealt = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place), "ordered")
+    span, local = F.shiftright("_place", 33), F.col("_place").bitwiseAND((1 << 33) - 1)
+    sizes = dealt.groupBy(span.alias("_range")).agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).drop("_n")  # one row a range
-    local = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    return dealt.withColumn("_local", local).join(F.broadcast(before), "_range").withColumn(name, (F.col("_local") + F.col("_before")).cast("long")).drop("_range", "_local", "_before")
+    return dealt.withColumn("_range", span).join(F.broadcast(before), "_range").withColumn(name, local + F.col("_before")).drop("_range", "_place", "_before")
 
 
 def hypergraph(edges: DataFrame, path_limit: int = 5000, priority: DataFrame | None = None) -> DataFrame:

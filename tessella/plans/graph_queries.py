@@ -39,7 +39,8 @@ pc as (select * from {values([(i, *p) for i, p in enumerate(G.PATHS)], "ordinal,
 pa as (select pc.ordinal, pc.pattern, a.x_index i0, a.y_index i1, b.y_index i2, a.x_name e0, a.y_name e1, b.y_name e2, t0, t1, t2, r1, r2
        from pc join filtered a on a.relation = pc.r1 join filtered b on b.relation = pc.r2 and b.x_index = a.y_index)"""
 
-CAP = 300
+#: Paths of a pattern at most.
+CAP = 5000
 CAPPED = PATHS + f""",
 pk as (select *, row_number() over (partition by pattern order by md5(concat_ws('|', e0, e1, e2)), i0, i1, i2) rn from pa),
 cap as (select * from pk where rn <= {CAP})"""
