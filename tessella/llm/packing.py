@@ -35,7 +35,8 @@ class WordEncoder:
 
     The vocabulary's pre-tokenizer never joins characters across white space and its normalizer
     works on the characters of one word, so the ids of a text are the ids of its words in a row.
-    The same holds for a stem, a word of letters alone, and the comma or full stop after it. The
+    Only a text with the string of an added token, which the tokenizer takes for that token, is
+    encoded as a whole. What is said of words holds for a stem, a word of letters alone, and the comma or full stop after it. The
     ids of a stem end with the first that the vocabulary marks as a word's end, so many stems are
     encoded as one text.
     """
@@ -44,7 +45,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -87,7 +88,8 @@ class WordEncoder:
             self.known = {"": b""}
         if len(self.stems) > STEMS:
             self.stems = {}
-        split = [(text or "").replace("\n", " ").split(" ") for text in texts]
+        whole = {i: self.encode([text])[0] for i, text in enumerate(texts) if text and any(a in text for a in self.added)}
+        split = [[] if i in whole else (text or "").replace("\n", " ").split(" ") for i, text in enumerate(texts)]
         known = self.known
         fresh: set[str] = set()
         for words in split:
@@ -95,7 +97,7 @@ class WordEncoder:
         if fresh:
             self.learn(fresh)
         look = known.__getitem__
-        return [b"".join(map(look, words)) for words in split]
+        return [whole[i] if i in whole else b"".join(map(look, words)) for i, words in enumerate(split)]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -146,9 +148,12 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
 def complement_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
     """Kinds of sequences as (how many, {length: pieces of it}), which together use all pieces.
 
-    The longest length that is left opens a sequence. Its gap is looked up among the single
-    lengths, then the sums of two, then of three; the sums are held as bit sets over the lengths
-    that are still available. If none fits exactly, the longest piece that fits goes in and the
+    The longest length that is left opens a sequence. Its gap is looked up in the index of single
+    lengths, then of sums of two, then of three. The index is two bit sets over the available
+    lengths, one of them mirrored: bit b of ``free & (mirror >> (capacity - gap))`` says that b and
+    gap - b are both there, so one operation on 4,096 bits yields the whole entry of that sum, and
+    an entry never holds lengths that have run out. A sum of three is a length and an entry for the
+    rest. If none fits exactly, the longest piece that fits goes in and the
     rest of the gap is looked up again. Each kind is used until one of its lengths runs out, so
     there are about as many kinds as lengths.
     """

@@ -13,13 +13,12 @@ from tessella.llm import packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, length string, part string"
-ODD = ["", " ", "Hello, World. it's 42 l'été", "a\tb\x0bc\x85d\xa0e\x1cf", "ΟΔΟΣ, ΟΔΟΣ.", "İİ, x İ ŉ ǰ ẖ ΐ ﬁ Ω K क़, क़ x क़क़.", "don't 'stop' <|endoftext|> x", "é ́x İstanbul.", "x" * 3000, "日本語 テスト。", "word,. ,a .b a..", "\n\n", "naïve  double  space"]
+ODD = ["", " ", "Hello, World. it's 42 l'été", "a\tb\x0bc\x85d\xa0e\x1cf", "ΟΔΟΣ, ΟΔΟΣ.", "İİ, x İ ŉ ǰ ẖ ΐ ﬁ Ω K क़, क़ x क़क़.", "don't 'stop' <|endoftext|> x", "é ́x İstanbul.", "x" * 3000, "日本語 テスト。", "word,. ,a .b a..", "\n\n", "naïve  double  space", "<|startoftext|>", "a<|startoftext|>b <|endoftext|>", "One. Two<|endoftext|><|endoftext|> three, four", "<|ENDOFTEXT|> <|endoftext |>"]
 
 
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
