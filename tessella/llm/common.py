@@ -61,9 +61,9 @@ class Texts:
     """The UTF-8 bytes of some texts, end to end; a null counts as an empty text."""
 
     def __init__(self, column: pa.Array) -> None:
-        column = column.fill_null("")
-        if not pa.types.is_large_string(column.type):
-            column = column.cast(pa.large_string())
+        column = column.fill_null("" if not pa.types.is_large_binary(column.type) else b"")
+        if not pa.types.is_large_binary(column.type):
+            column = column.cast(pa.large_binary())
         _, offsets, data = column.buffers()
         self.offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
         self.data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
@@ -71,6 +71,12 @@ class Texts:
     def __len__(self) -> int:
         return len(self.offsets) - 1
 
+    def lengths(self) -> np.ndarray:
+        return np.diff(self.offsets)
+
+    def bytes(self) -> np.ndarray:
+        return self.data[self.offsets[0] : self.offsets[-1]]
+
     def steps(self, most: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """Runs of texts of at most ``most`` bytes together: first, end, their bytes, their offsets in them."""
         at, n = 0, len(self)
@@ -90,7 +96,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse, modulo 2**64."""
     if len(_powers[0]) < n:
         size = max(n, STEP_BYTES + 1)
@@ -128,7 +134,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """64 bits for each word, the same wherever the word stands."""
-        power, inverse = _power_tables(len(self.data) + 1)
+        power, inverse = power_tables(len(self.data) + 1)
         sums = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * power[: len(self.data)], out=sums[1:])
         return mixed((sums[self.end] - sums[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
