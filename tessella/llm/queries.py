@@ -37,7 +37,8 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chaining.shared_passages(read(spark, sf_dir, "documents"))
+    """A row for each document that shares a passage: its class, its links and its longest passage."""
+    return chaining.passage_classes(chaining.shared_passages(read(spark, sf_dir, "documents")))
 
 
 def op5_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
