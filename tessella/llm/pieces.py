@@ -4,8 +4,13 @@ The vocabulary is used as a unigram model: the ids of a text are those of the se
 pieces with the greatest sum of scores. A giant text is split into chunks. Each chunk yields a
 transfer matrix in the max-plus algebra: entry (i, j) is the best score with the chunk entered i
 characters in, as the piece before reaches so far across its border, and its last piece reaching
-j characters into the next chunk. Matrices combine associatively into the states at all borders,
-and each chunk then traces its own pieces back, given only the states at its two borders.
+j characters into the next chunk. Matrices combine associatively: runs of ``FAN`` of them are
+multiplied, the products again, up to one run a text; then the states at the borders are found from the top
+down, each run's inner ones from its outer two. So no task ever has more of a text than ``FAN`` matrices
+or one chunk. Each chunk then traces its own pieces back, given only the states at its two borders.
+
+The scores are the vocabulary's own. In a BPE vocabulary they are ranks of merges, not logarithms of
+probabilities, so its ids here are not those that merging gives.
 """
 
 from __future__ import annotations
@@ -21,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import staged
 
 CHUNK = 1 << 15
+#: Matrices that are multiplied in one task.
+FAN = 64
 SPACE = "▁"
 LOW = float("-inf")
 #: What a character costs that is spelled in bytes: more than any piece but those never to be used.
@@ -28,21 +35,6 @@ BYTES = -100_000.0
 REMEMBERED = 600_000
 
 
-class _Known(dict):
-    """Words and their ids; it starts anew when it holds many. Giant words are not kept."""
-
-    def __init__(self, make) -> None:
-        self.make = make
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.make(word)
-        if len(word) <= 64:
-            if len(self) > REMEMBERED:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
 class Vocabulary:
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -68,7 +60,9 @@ class Vocabulary:
         word = rf"{SPACE}*\w+(?=[{re.escape(marks)}])|" if marks else ""
         self.words = re.compile(f"\n|{word}{SPACE}*[^{SPACE}\n]+|{SPACE}+") if not crosses else re.compile(r"(?s).+")
         self.gain = np.array([self.score[t] if t in self.score else BYTES if r and r[0] & 0xC0 != 0x80 else 0.0 for t, r in zip(self.texts, self.raw, strict=True)])
-        self.known = _Known(self.word)
+        #: Words and their ids. Giant words are not kept.
+        self.known: dict[str, bytes] = {}
+        self.solver = self._solver()
         #: The score of each beginning of a piece; LOW for those that aren't pieces themselves.
         self.beginning: dict[str, float] = {p[:n]: LOW for p in self.id for n in range(1, len(p))} | self.score
 
@@ -108,13 +102,50 @@ class Vocabulary:
             end = at
         return out[::-1]
 
+    def _solver(self):
+        """The library's search for the best segmentation, over the same pieces and scores. It takes the
+        piece that begins first of equal scores, as ``best`` does."""
+        from tokenizers import Tokenizer
+        from tokenizers.models import Unigram
+
+        pieces = [(t, self.score[t]) if t in self.score else (f"\0{i}", 2 * BYTES) for i, t in enumerate(self.texts)]
+        return Tokenizer(Unigram(pieces, 0, False))
+
     def word(self, word: str) -> bytes:
         """The ids of a run of characters that no piece leaves, as 32-bit integers."""
         _, back = self.best(word, 0, len(word))
         return np.array(self.trace(word, 0, len(word), back), np.int32).tobytes()
 
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of many words. Those with a character that is no piece, where the library gives 0, are searched here."""
+        out = {}
+        for at in range(0, len(words), 20_000):
+            some = words[at : at + 20_000]
+            for word, found in zip(some, self.solver.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                ids = found.ids
+                out[word] = self.word(word) if 0 in ids or "\0" in word else np.array(ids, np.int32).tobytes()
+        return out
+
     def words_of(self, text: str, start: int, end: int) -> bytes:
-        return b"".join(map(self.known.__getitem__, self.words.findall(text, start, end)))
+        return self.all_words([self.words.findall(text, start, end)])[0]
+
+    def all_words(self, split: list[list[str]]) -> list[bytes]:
+        """The ids of each list of words."""
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        known = self.known
+        fresh: set[str] = set()
+        for words in split:
+            fresh.update(w for w in words if w not in known)
+        giant = {}
+        if fresh:
+            found = self.learn(list(fresh))
+            giant = {w: i for w, i in found.items() if len(w) > 64}
+            for w in giant:
+                del found[w]
+            known.update(found)
+        look = known.__getitem__ if not giant else lambda w: giant[w] if w in giant else known[w]
+        return [b"".join(map(look, words)) for words in split]
 
     def total(self, ids: bytes) -> float:
         """The score of the ids of whole words; bytes of one character cost once."""
@@ -181,18 +212,24 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
-def borders(matrices: list[np.ndarray]) -> list[int]:
-    """The state at each border of the best way through all chunks, from 0 to 0.
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    """All of them combined, in order, pairwise in a tree."""
+    while len(matrices) > 1:
+        matrices = [combine(*matrices[i : i + 2]) if i + 1 < len(matrices) else matrices[i] for i in range(0, len(matrices), 2)]
+    return matrices[0]
 
-    Sequential: a vector is folded over the matrices from the right, then the states are followed
-    from the left; of states with equal sums that agree with the border before, the smallest is taken.
+
+def borders(matrices: list[np.ndarray], enter: int = 0, leave: int = 0) -> list[int]:
+    """The state at each border of the best way through a run of chunks, from ``enter`` to ``leave``.
+
+    Of states with equal sums that agree with the border before, the smallest is taken.
     """
     k = matrices[0].shape[0]
     after = [np.full(k, LOW) for _ in range(len(matrices) + 1)]
-    after[-1][0] = 0.0
+    after[-1][leave] = 0.0
     for i in range(len(matrices) - 1, -1, -1):
         after[i] = (matrices[i] + after[i + 1][None, :]).max(axis=1)
-    states = [0]
+    states = [enter]
     for i, m in enumerate(matrices):
         states.append(int(np.argmax(m[states[-1]] + after[i + 1])))
     return states
@@ -217,14 +254,56 @@ def _lists(ids: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
 
 
-def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def border_states(matrices: DataFrame, key: list[str], reach: int, most: int, fan: int = FAN) -> DataFrame:
+    """key, chunk, enter and leave: the states at the borders of every chunk.
+
+    ``matrices``: key, chunk from 0, and m, the chunk's transfer matrix row by row; ``most`` is the highest
+    chunk number. Products are made of runs of ``fan`` until each key has one run, then each
+    level's states are found within the runs of the next. There are log(most) / log(fan) levels.
+    """
+
+    def run_of(level: DataFrame) -> DataFrame:
+        return level.groupBy(*key, F.floor(F.col("chunk") / fan).cast("int").alias("run")).agg(F.sort_array(F.collect_list(F.struct("chunk", "m"))).alias("ms"))
+
+    shaped = lambda one: [np.asarray(x["m"], float).reshape(reach, reach) for x in one]
+
+    @F.pandas_udf("array<double>")
+    def multiplied(ms):
+        import pandas as pd
+
+        return pd.Series([product(shaped(one)).ravel() for one in ms])
+
+    @F.pandas_udf("array<int>")
+    def followed(ms, enter, leave):
+        import pandas as pd
+
+        return pd.Series([borders(shaped(one), a, b) for one, a, b in zip(ms, enter, leave, strict=True)])
+
+    levels = [matrices]
+    while most >= fan:
+        most //= fan
+        levels.append(staged(run_of(levels[-1]).select(*key, F.col("run").alias("chunk"), multiplied("ms").alias("m")), "products"))
+    states: DataFrame | None = None
+    for level in reversed(levels):
+        runs = run_of(level)
+        if states is None:
+            runs = runs.withColumns({"enter": F.lit(0), "leave": F.lit(0)})
+        else:
+            known = states.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(key)], F.col("chunk").alias("of_run"), "enter", "leave")
+            runs = runs.join(known, [*[F.col(c).eqNullSafe(F.col(f"k{i}")) for i, c in enumerate(key)], F.col("run") == F.col("of_run")])
+        found = runs.select(*key, "ms", followed("ms", "enter", "leave").alias("states"))
+        pairs = F.transform("ms", lambda x, i: F.struct(x["chunk"].alias("chunk"), F.element_at("states", i + 1).alias("enter"), F.element_at("states", i + 2).alias("leave")))
+        states = staged(found.select(*key, F.explode(pairs).alias("s")).select(*key, "s.*"), "states")
+    return states
+
+
+def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK, fan: int = FAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, chunk, n_chunks, text_hash and ids of every whole text, one row a chunk of ``chunk`` characters.
 
     The ids of a text are those of its chunks in order. A text of one chunk is encoded where it is
-    read; only the chunks of longer ones are dealt out and meet again, as matrices, by document.
-    A null or empty text has one row without ids. Repeated rows of one id are told apart by their
-    text_hash, and equal ones are counted in ``copies`` where they are of several chunks; a null
-    id stays null; other columns are not read.
+    read; only the chunks of longer ones are dealt out and meet again, as matrices, in runs of ``fan``.
+    A null or empty text has one row without ids. Repeated rows give repeated results; texts of
+    one id are told apart by text_hash; a null id stays null; other columns are not read.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("text_hash", F.xxhash64("text"))
@@ -235,15 +314,16 @@ def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK, id_col: str = "
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
-                ids = [v.encode(t, len(t)) for t in map(marked, b.column(1).to_pylist())]
-                zero, ones = np.zeros(b.num_rows, np.int32), np.ones(b.num_rows, np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(zero), pa.array(zero + np.int32(1)), b.column(2), pa.array(ones), _lists(ids)], names=["doc_id", "chunk", "n_chunks", "text_hash", "copies", "ids"])
+                ids = v.all_words([v.words.findall(marked(t)) for t in b.column(1).to_pylist()])
+                zero = np.zeros(b.num_rows, np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(zero), pa.array(zero + np.int32(1)), b.column(2), _lists(ids)], names=["doc_id", "chunk", "n_chunks", "text_hash", "ids"])
 
-    one = rows.where("n_chunks = 1").select("doc_id", "text", "text_hash").mapInArrow(short, "doc_id long, chunk int, n_chunks int, text_hash long, copies long, ids array<int>")
-    long = rows.where("n_chunks > 1").groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"), F.first("n_chunks").alias("n_chunks"), F.count("*").alias("copies"))
+    one = rows.where("n_chunks = 1").select("doc_id", "text", "text_hash").mapInArrow(short, "doc_id long, chunk int, n_chunks int, text_hash long, ids array<int>")
+    key = ["doc_id", "text_hash"]
+    long = rows.where("n_chunks > 1").groupBy(*key).agg(F.first("text").alias("text"), F.first("n_chunks").alias("n_chunks"), F.count("*").alias("copies"))
     mark = F.concat(F.lit(SPACE), F.translate("text", " ", SPACE))
     reach = vocabulary(model_path).longest
-    cut = long.select("doc_id", "text_hash", "copies", "n_chunks", mark.alias("text"), F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk"))
+    cut = long.select(*key, "copies", "n_chunks", mark.alias("text"), F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk"))
     cut = cut.withColumn("text", F.expr(f"substring(text, chunk * {chunk} + 1, {chunk + reach})")).withColumn("size", F.least(F.length("text"), F.lit(chunk)))
     cut = staged(cut.repartition(F.col("doc_id"), F.col("text_hash"), F.col("chunk")), "chunks")
 
@@ -254,18 +334,10 @@ def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK, id_col: str = "
         v = vocabulary(model_path)
         return pd.Series([v.matrix(t, s).ravel() for t, s in zip(text, size, strict=True)])
 
-    key = ["doc_id", "text_hash"]
-    matrices = cut.select(*key, "chunk", transfer("text", "size").alias("m")).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("chunk", "m"))).alias("ms"))
-
-    @F.pandas_udf("array<int>")
-    def scan(ms):
-        import pandas as pd
-
-        return pd.Series([borders([np.asarray(x["m"], float).reshape(reach, reach) for x in one]) for one in ms])
-
-    states = matrices.select(*key, scan(F.col("ms")).alias("states"))
-    ready = cut.join(states.withColumnsRenamed({"doc_id": "_d", "text_hash": "_h"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")))
-    ready = ready.select(*key, "copies", "n_chunks", "chunk", "text", "size", F.element_at("states", F.col("chunk") + 1).alias("enter"), F.element_at("states", F.col("chunk") + 2).alias("leave"))
+    matrices = staged(cut.select(*key, "chunk", transfer("text", "size").alias("m")), "matrices")
+    most = matrices.agg(F.max("chunk")).first()[0] or 0
+    states = border_states(matrices, key, reach, most, fan).withColumnsRenamed({"doc_id": "of_doc", "text_hash": "of_text", "chunk": "of_chunk"})
+    ready = cut.join(states, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_text")) & (F.col("chunk") == F.col("of_chunk")))
 
     @F.pandas_udf("array<int>")
     def traced(text, size, enter, leave):
@@ -274,7 +346,8 @@ def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK, id_col: str = "
         v = vocabulary(model_path)
         return pd.Series([np.frombuffer(v.encode(*row), np.int32) for row in zip(text, size, enter, leave, strict=True)])
 
-    return one.unionByName(ready.select("doc_id", "chunk", "n_chunks", "text_hash", "copies", traced("text", "size", "enter", "leave").alias("ids")))
+    split = ready.select("doc_id", "chunk", "n_chunks", "text_hash", "copies", traced("text", "size", "enter", "leave").alias("ids"))
+    return one.unionByName(split.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies", "copy"))
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:

@@ -33,7 +33,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every chunk of every text, and a digest of what they decode to."""
     path = vocabulary_path("piece_bpe_32k.model")
     coded = pieces.decode(pieces.encode(read(spark, sf_dir, "documents"), path), path)
-    return coded.select("doc_id", "chunk", "n_chunks", "copies", F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+    return coded.select("doc_id", "chunk", "n_chunks", F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,14 +78,45 @@ def test_products_are_associative():
     assert (pieces.combine(pieces.combine(a, b), c) == pieces.combine(a, pieces.combine(b, c))).all()
 
 
+def test_a_product_is_the_fold():
+    g = np.random.default_rng(1)
+    for n in (1, 2, 3, 7, 8):
+        ms = [np.where(g.random((4, 4)) < 0.3, pieces.LOW, g.integers(-9, 0, (4, 4)).astype(float)) for _ in range(n)]
+        whole = ms[0]
+        for m in ms[1:]:
+            whole = pieces.combine(whole, m)
+        assert (pieces.product(ms) == whole).all()
+
+
+def test_words_of_the_library_are_those_of_the_search(v):
+    r = random.Random(4)
+    words = ["".join(r.choices("aeiounrst▁lhé\n日x", k=r.randint(1, 14))) for _ in range(2000)] + ["\0" + "1", "▁", "▁▁▁", "😀a"]
+    assert v.learn(words) == {w: v.word(w) for w in words}
+
+
+@pytest.mark.parametrize("fan", [2, 3])
+def test_levels_of_products(spark, v, fan):
+    """Texts of up to some hundred chunks, whose states come down from several levels."""
+    r = random.Random(9)
+    rows = [(i, "".join(r.choices(["the", " ", "tion", "aaaa", "日本", "zz"], k=n))) for i, n in enumerate((3, 40, 90, 400, 11))]
+    rows += [(5, rows[2][1]), (5, rows[2][1]), (None, rows[1][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {}
+    for x in pieces.encode(docs, PATH, chunk=10, fan=fan).collect():
+        got.setdefault((x["doc_id"], x["text_hash"]), {}).setdefault(x["chunk"], []).append(x["ids"])
+    assert sorted(len(x[0]) for x in got.values()) == [1] * 6 + [2]
+    for (doc, _), chunks in got.items():
+        text = next(t for i, t in rows if i == doc)
+        assert of(v, [j for c in sorted(chunks) for j in chunks[c][0]]) == pytest.approx(slow(v, text))
+
+
 def test_encode(spark, v):
     rows = [(i, t, "x") for i, t in enumerate(texts(40))] + [(900, None, "x"), (3, texts(40)[3], "x"), (None, "the cat " * 30, "x"), (901, "the cat " * 30, "x"), (901, "the cat " * 30, "x"), (902, "x" * 3000, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string").repartition(3)
     coded = pieces.decode(pieces.encode(docs, PATH, chunk=50), PATH).collect()
     got = {}
     for r in coded:
-        for _ in range(r["copies"]):
-            got.setdefault((r["doc_id"], r["text_hash"]), {}).setdefault(r["chunk"], []).append(r)
+        got.setdefault((r["doc_id"], r["text_hash"]), {}).setdefault(r["chunk"], []).append(r)
     total = 0
     for i, text, _ in rows:
         text = text or ""
@@ -97,5 +128,6 @@ def test_encode(spark, v):
         if text:
             assert of(v, ids) == pytest.approx(slow(v, text))
         total += one[0][0]["n_chunks"]
-    assert total == sum(r["copies"] for r in coded)
+        assert {len(x) for x in one.values()} == {rows.count((i, text or None, "x")) if text else 1} or i is None
+    assert total == len(coded)
     assert pieces.encode(docs.limit(0), PATH).collect() == []
