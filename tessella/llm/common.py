@@ -53,6 +53,29 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+_held: dict[tuple, object] = {}
+
+
+def remembered(key: tuple, make):
+    """What ``make`` gives, kept in this process until another key is asked for.
+
+    A worker serves the stages of a pipeline one after another, and would otherwise hold the
+    words that each of them remembers.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def free(name: str, *frames: DataFrame) -> str:
+    """A column name like ``name`` that none of ``frames`` has, whatever the case of its letters."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -146,7 +169,3 @@ class Words:
         for j in range(k):
             out = out * np.uint64(0xD6E8FEB86659FD93) + hashes[j : j + n]
         return mixed(out), self.text[:n] == self.text[k - 1 : k - 1 + n] if n else np.zeros(0, bool)
-
-
-def packed(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type) for f in schema], schema=schema)

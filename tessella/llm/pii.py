@@ -1,10 +1,12 @@
 """Personal data: fixed patterns, and contexts learned from what they find.
 
-The matches of the fixed patterns are seeds. The words before a seed are a lexical pattern; tokens
-that look like identifiers and stand behind the same words are candidate instances. Patterns and
+The matches of the fixed patterns are seeds; so are keys, long runs of letters and digits, as seeds
+of a fifth kind, secret. The words before and after a seed are lexical patterns; all tokens with a
+digit or an @ that stand by the same words are candidate instances, whatever their shape. Patterns and
 instances form a graph: a pattern is trusted by the share of its instances that are already held
-to be of a kind, an instance by the patterns that it stands behind. A few rounds of joins and
-aggregations score the graph, and instances behind trusted patterns are added to the spans.
+to be of a kind, an instance by the patterns that it stands by. A few rounds of joins and
+aggregations score the graph, and instances by trusted patterns are added to the spans. A key that
+no trusted pattern stands by is not a secret: it may be a checksum.
 """
 
 from __future__ import annotations
@@ -17,9 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import free, staged
 
 KINDS = ("email", "ip", "card", "phone")
+#: The kinds that contexts can add: those, and keys.
+LEARNED = (*KINDS, "secret")
+#: A key, as a seed: 32 hexadecimal digits, or 24 letters and digits of all sorts.
+_KEY = re.compile(r"[0-9A-Fa-f]{32,}|(?=[^a-z]*[a-z])(?=[^A-Z]*[A-Z])(?=[^0-9]*[0-9])[A-Za-z0-9_+/=-]{24,}")
+#: Characters of a token from which on it is told wherever it stands, not only by its patterns.
+TELLING = 8
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -72,24 +80,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def looks_like(token: str) -> list[int]:
-    """The kinds that an unknown token could be of, by its characters."""
-    digits = len(_DIGITS.findall(token))
-    kinds = []
-    if "@" in token:
-        kinds.append(0)
-    if digits >= 4 and len(re.findall(r"[.:]", token)) >= 3:
-        kinds.append(1)
-    letters = any(c.isalpha() for c in token)
-    if digits >= 8 and not letters:
-        kinds.append(2)
-    if digits >= 7 and not letters:
-        kinds.append(3)
-    return kinds
-
-
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Tokens with a digit or @ outside the spans taken; neighbours without letters go together."""
+    """Tokens with a digit or @ outside the spans taken, and keys around them; neighbours without letters go together."""
     held = sorted((s, e) for _, s, e in taken)
     spot, at, before = 0, 0, None
     while m := _HINT.search(text, at):
@@ -109,6 +101,8 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[i
             if before:
                 yield before
             before = None
+            if _KEY.fullmatch(text, start, end):  # a fixed pattern's match is a part of it
+                yield start, end
             continue
         bare = not any(c.isalpha() or c == "@" for c in text[start:end])
         if before and bare and start - before[1] <= 3 and not text[before[1] : start].strip(" ()") and not any(c.isalpha() for c in text[before[0] : before[1]]):
@@ -121,20 +115,42 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[i
         yield before
 
 
-#: Characters before a span in which its context is looked for.
-REACH = 64
+#: Words of marks alone that are passed over beside a place.
+MARKS = 3
 
 
-def context(text: str, start: int) -> list[str]:
-    """The lexical patterns of a place: the word before it, and the two words before it."""
-    words = [w.strip(_EDGE + "=").lower() for w in text[max(0, start - REACH) : start].split()[-2:]]
-    words = [w for w in words if w and not _HINT.search(w)]
-    return [" ".join(words[-n:]) for n in range(1, len(words) + 1)]
+def _beside(text: str, at: int, step: int) -> list[str]:
+    """The two words before (step -1) or after (1) a place, the nearer one first, without edges."""
+    out: list[str] = []
+    stop, back = (0, 1) if step < 0 else (len(text), 0)
+    for _ in range(2 + MARKS):
+        while at != stop and text[at - back] in _SPACE:
+            at += step
+        start = at
+        while at != stop and text[at - back] not in _SPACE:
+            at += step
+        word = text[min(start, at) : max(start, at)].strip(_EDGE + "=").lower()
+        if word or at == stop:
+            out.append(word)
+        if len(out) == 2 or at == stop:
+            break
+    return [*out, "", ""][:2]
+
+
+def context(text: str, start: int, end: int) -> list[str]:
+    """The lexical patterns of a place: the word and the two words before it, and those after it."""
+    out = []
+    for mark, (near, far) in (("<", _beside(text, start, -1)), (">", _beside(text, end, 1))):
+        if near and not _HINT.search(near):
+            out.append(mark + near)
+            if far and not _HINT.search(far):
+                out.append(mark + near + " " + far)
+    return out
 
 
-OCCURRENCE = pa.struct([("kinds", pa.list_(pa.int32())), ("known", pa.bool_()), ("start", pa.int32()), ("end", pa.int32()), ("token", pa.string()), ("patterns", pa.list_(pa.string()))])
+OCCURRENCE = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("token", pa.string()), ("patterns", pa.list_(pa.string()))])
 SCAN = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_email", pa.int64()), ("n_ip", pa.int64()), ("n_card", pa.int64()), ("n_phone", pa.int64()), ("base", pa.string()), ("text_hash", pa.int64()), ("occurrences", pa.list_(OCCURRENCE))])
-SCAN_DDL = "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, text_hash long, occurrences array<struct<kinds:array<int>,known:boolean,start:int,end:int,token:string,patterns:array<string>>>"
+SCAN_DDL = "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, text_hash long, occurrences array<struct<kind:int,start:int,end:int,token:string,patterns:array<string>>>"
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -142,7 +158,10 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """What the fixed patterns find in each whole text, and the graph's occurrences in it."""
+    """What the fixed patterns find in each whole text, and the graph's occurrences in it.
+
+    An occurrence's kind is the number of its fixed pattern, 4 for a key, and -1 if it is unknown.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -154,10 +173,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 text = text.as_py() or ""
                 spans, seen = base_spans(text), []
                 if spans or _HINT.search(text):
-                    seen = [{"kinds": [k], "known": True, "start": s, "end": e, "token": text[s:e].lower(), "patterns": context(text, s)} for k, s, e in spans]
-                    for s, e in candidates(text, spans):
-                        if kinds := looks_like(text[s:e]):
-                            seen.append({"kinds": kinds, "known": False, "start": s, "end": e, "token": text[s:e].lower(), "patterns": context(text, s)})
+                    found = [*spans, *((4 if _KEY.fullmatch(text, s, e) else -1, s, e) for s, e in candidates(text, spans))]
+                    seen = [{"kind": k, "start": s, "end": e, "token": text[s:e].lower(), "patterns": context(text, s, e)} for k, s, e in found]
                 counts = [0] * 4
                 for k, _, _ in spans:
                     counts[k] += 1
@@ -174,25 +191,30 @@ def discovered(seen: DataFrame, rounds: int = 3, support: int = 5, trust: float
     """row, kind, start and end of the spans that learned contexts add to a scanned table.
 
     A pattern speaks for a kind if at least ``support`` different known instances of the kind
-    stand behind it and they, weighed by their scores, are at least ``trust`` of all its different
+    stand by it and they, weighed by their scores, are at least ``trust`` of all its different
     instances and one more. An instance's score is one less the product of its patterns' doubts;
     from ``trust`` on it is known in the next round. An instance gets the kind of its best score,
-    the first listed among equals.
+    the first listed among equals. Its occurrences are spans by a trusted pattern of that kind,
+    and from ``TELLING`` characters on everywhere.
     """
     flat = seen.select("row", F.explode("occurrences").alias("o")).select("row", "o.*")
-    edges = staged(flat.select(F.explode("patterns").alias("pattern"), "token", "known", "kinds").groupBy("pattern", "token").agg(F.max("known").alias("known"), F.max("kinds").alias("kinds")), "edges")
-    open_edges = edges.where("not known").select("pattern", "token", F.explode("kinds").alias("kind"))
-    known = staged(flat.where("known").select("token", F.col("kinds")[0].alias("kind")).distinct().withColumn("score", F.lit(1.0)), "known")
+    fixed = F.col("kind").between(0, len(KINDS) - 1)
+    edges = staged(flat.select(F.explode("patterns").alias("pattern"), "token", "kind").groupBy("pattern", "token").agg(F.max(fixed).alias("fixed")), "edges")
+    open_edges = edges.where("not fixed").select("pattern", "token")
+    seeds = staged(flat.where("kind >= 0").select("token", "kind").distinct().withColumn("score", F.lit(1.0)), "seeds")
     instances = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-    found = None
+    known, found, trusted = seeds, None, None
     for _ in range(rounds):
         speaks = edges.select("pattern", "token").join(known, "token").groupBy("pattern", "kind").agg(F.sum("score").alias("held"), F.count("*").alias("n_held"))
-        trusted = speaks.where(F.col("n_held") >= support).join(instances, "pattern").withColumn("faith", F.col("held") / (F.col("n") + 1)).where(F.col("faith") >= trust)
-        scores = open_edges.join(trusted.select("pattern", "kind", "faith"), ["pattern", "kind"]).groupBy("token", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("faith"))))).alias("score"))
+        trusted = staged(speaks.where(F.col("n_held") >= support).join(instances, "pattern").withColumn("faith", F.col("held") / (F.col("n") + 1)).where(F.col("faith") >= trust).select("pattern", "kind", "faith"), "trusted")
+        scores = open_edges.join(trusted, "pattern").groupBy("token", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("faith"))))).alias("score"))
         best = scores.groupBy("token").agg(F.max_by("kind", F.struct("score", (-F.col("kind")).alias("k"))).alias("kind"), F.max("score").alias("score")).where(F.col("score") >= trust)
         found = staged(best, "found")
-        known = known.where("score = 1.0").unionByName(found.select("token", "kind", "score"))
-    return flat.where("not known").join(found.select("token", "kind"), "token").select("row", "kind", "start", "end")
+        known = seeds.unionByName(found).groupBy("token", "kind").agg(F.max("score").alias("score"))
+    open_spans = flat.where(~fixed).drop("kind").join(found.select("token", "kind"), "token")
+    telling = open_spans.where(F.length("token") >= TELLING).select("row", "kind", "start", "end")
+    short = open_spans.where(F.length("token") < TELLING).select("row", "kind", "start", "end", F.explode("patterns").alias("pattern")).join(trusted.select("pattern", "kind"), ["pattern", "kind"])
+    return telling.unionByName(short.select("row", "kind", "start", "end").distinct())
 
 
 def find(docs: DataFrame, rounds: int = 3, support: int = 5, trust: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,14 +222,14 @@ def find(docs: DataFrame, rounds: int = 3, support: int = 5, trust: float = 0.8,
 
     Spans are kind:start:end in code points, the end exclusive, by kind and then start. n_email,
     n_ip, n_card and n_phone count the fixed patterns' spans, n_learned those that contexts add;
-    text_hash tells rows of one id apart. A null or empty text has no spans. Repeated rows stay,
+    text_hash tells rows of one id apart. Contexts also add spans of keys, as secret. A null or empty text has no spans. Repeated rows stay,
     and count once as instances; a null id stays null; other columns are not read.
     """
     seen = staged(scan(docs, id_col, text_col), "scan")
     more = discovered(seen, rounds, support, trust).groupBy("row").agg(F.collect_set(F.struct("kind", "start", "end")).alias("more"))
     ordered = seen.join(more, "row", "left")
-    base = F.transform(F.filter("occurrences", lambda o: o["known"]), lambda o: F.struct(o["kinds"][0].alias("kind"), o["start"].alias("start"), o["end"].alias("end")))
-    every = F.transform(F.array_sort(F.concat(base, "more")), lambda s: F.concat_ws(":", F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["kind"] + 1), s["start"], s["end"]))
+    base = F.transform(F.filter("occurrences", lambda o: o["kind"].between(0, len(KINDS) - 1)), lambda o: F.struct(o["kind"].alias("kind"), o["start"].alias("start"), o["end"].alias("end")))
+    every = F.transform(F.array_sort(F.concat(base, "more")), lambda s: F.concat_ws(":", F.element_at(F.array(*[F.lit(k) for k in LEARNED]), s["kind"] + 1), s["start"], s["end"]))
     return ordered.select(
         "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"),
         F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_join(every, ",")).alias("spans"),
@@ -229,7 +251,8 @@ def masked(text: str, spans: str) -> str:
 
 def redact(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the spans of ``find`` masked in the text column; rows without spans are as they were."""
-    found = spans.where("spans <> ''").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_hash"])
+    key, print_of, of_text = (free(n, docs) for n in ("span_id", "span_hash", "span_list"))
+    found = spans.where("spans <> ''").select(F.col("doc_id").alias(key), F.col("text_hash").alias(print_of), F.col("spans").alias(of_text)).dropDuplicates([key, print_of])
 
     @F.pandas_udf("string")
     def mask(text, of):
@@ -238,5 +261,5 @@ def redact(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
         return pd.Series([t if s is None else masked(t, s) for t, s in zip(text, of, strict=True)], dtype=object)
 
     text = F.col(text_col).cast("string")
-    met = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left")
-    return met.withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(mask(text, "_spans"))).select(*docs.columns)
+    met = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(text) == F.col(print_of)), "left")
+    return met.withColumn(text_col, F.when(F.col(of_text).isNull(), text).otherwise(mask(text, of_text))).select(*[F.col(f"`{c}`") for c in docs.columns])

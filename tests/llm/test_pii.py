@@ -56,8 +56,68 @@ def test_find(spark):
         assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [sum(k == i for k, _, _ in base) for i in range(4)]
 
 
+def test_unseen_shapes_by_contexts_on_both_sides(spark):
+    """Keys that seed a context, shorter ones and numbers of other shapes found in it; checksums that have none stay."""
+    r = random.Random(5)
+    key = lambda n: "".join(r.choices("0123456789abcdef", k=n))
+    rows = [(i, f"set api token = \"{key(40)}\" for {''.join(r.choices('abcdefg', k=5))}") for i in range(20)]
+    rows += [(100, 'then api token = "zz-91-Q" please'), (101, f"the sum {key(40)} is of {key(36)} files"), (102, 'again zz-91-Q alone, 1 a b')]
+    rows += [(200 + i, f"dial +44 20 7946 {1000 + i} extension desk") for i in range(20)] + [(300, "so 7946/ab/12 extension desk"), (301, "a 12 desk")]
+    got = {x["doc_id"]: x for x in pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    texts = dict(rows)
+    said = {i: [(k, texts[i][int(s) : int(e)]) for k, s, e in (x.split(":") for x in got[i]["spans"].split(",") if x)] for i in got}
+    assert all(("secret", texts[i][17:57]) in said[i] for i in range(20))  # one has a card's digits in it
+    assert said[100] == [("secret", "zz-91-Q")] and said[101] == [] and said[102] == []
+    assert said[300] == [("phone", "7946/ab/12")] and said[301] == []
+    assert all([k for k, _ in said[200 + i]] == ["phone"] and got[200 + i]["n_learned"] == 0 for i in range(20))
+
+
+def slow_discovered(occurrences, rounds=3, support=5, trust=0.8):
+    """The graph by brute force: (row, kind, start, end) from rows of (row, kind, start, end, token, patterns)."""
+    edges = {}
+    for _, kind, _, _, token, patterns in occurrences:
+        for p in patterns:
+            edges.setdefault(p, {}).setdefault(token, []).append(0 <= kind < 4)
+    seeds = {(t, k): 1.0 for _, k, _, _, t, _ in occurrences if k >= 0}
+    known = dict(seeds)
+    for _ in range(rounds):
+        trusted = {}
+        for p, tokens in edges.items():
+            for kind in range(5):
+                held = [known[t, kind] for t in tokens if (t, kind) in known]
+                if len(held) >= support and sum(held) / (len(tokens) + 1) >= trust:
+                    trusted[p, kind] = sum(held) / (len(tokens) + 1)
+        doubt = {}
+        for (p, kind), faith in trusted.items():
+            for t, flags in edges[p].items():
+                if not any(flags):
+                    doubt[t, kind] = doubt.get((t, kind), 1.0) * (1 - faith)
+        best = {}
+        for (t, kind), d in doubt.items():
+            if t not in best or (1 - d, -kind) > best[t]:
+                best[t] = (1 - d, -kind)
+        found = {t: -k for t, (score, k) in best.items() if score >= trust}
+        known = dict(seeds)
+        for t, kind in found.items():
+            known[t, kind] = max(known.get((t, kind), 0), best[t][0])
+    return {(row, found[t], s, e) for row, k, s, e, t, patterns in occurrences if not 0 <= k < 4 and t in found and (len(t) >= pii.TELLING or any((p, found[t]) in trusted for p in patterns))}
+
+
+def test_the_graph_is_the_definition(spark):
+    r = random.Random(11)
+    words = ["call", "id", "key", "at", "the", "x"]
+    tokens = ["+1 234 555 1%03d" % i for i in range(15)] + ["%040x" % r.getrandbits(160) for _ in range(15)] + [f"n{i}-{i}" for i in range(10)] + ["a@b.cc", "12"]
+    by = {t: r.choice(words) for t in tokens}
+    rows = [(i, " ".join(f"{by[t] if r.random() < 0.85 else r.choice(words)} {t} {r.choice(words)}" for t in r.choices(tokens, k=3))) for i in range(120)]
+    seen = pii.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).cache()
+    flat = [(x["row"], o["kind"], o["start"], o["end"], o["token"], o["patterns"]) for x in seen.collect() for o in x["occurrences"]]
+    got = {tuple(x) for x in pii.discovered(seen, support=3, trust=0.5).collect()}
+    want = slow_discovered(flat, support=3, trust=0.5)
+    assert got == want and len(want) > 20
+
+
 def test_redact(spark):
-    docs = spark.createDataFrame(planted(), "doc_id long, text string, spans string").repartition(3)
+    docs = spark.createDataFrame(planted(), "doc_id long, text string, _spans string").withColumnRenamed("_spans", "span_list").repartition(3)
     rows = pii.redact(docs, pii.find(docs))
     assert rows.columns == docs.columns
     got = [tuple(r) for r in rows.collect()]
