@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import free
+
 # Fixed values of the chat markup.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
@@ -58,9 +60,11 @@ def parroted(turns: DataFrame, pair_col: str = "conv_id") -> DataFrame:
     """Worse versions of conversations: the last assistant turn only repeats the turn before it.
 
     A conversation without an assistant turn stays as it is; one that begins with its only
-    assistant turn has that turn empty.
+    assistant turn has that turn empty. Turns of equal number stand by role and text; turns with a null id are
+    taken for one conversation; null texts are repeated as empty. All other columns stay.
     """
+    nth, before, last = (free(n, turns) for n in ("nth", "before", "last"))
     w = Window.partitionBy(pair_col).orderBy("turn", "role", "text")
-    placed = turns.withColumn("_nth", F.row_number().over(w)).withColumn("_before", F.lag("text").over(w))
-    placed = placed.withColumn("_last", F.max(F.when(F.col("role") == "assistant", F.col("_nth"))).over(Window.partitionBy(pair_col)))
-    return placed.withColumn("text", F.when(F.col("_nth") == F.col("_last"), F.coalesce("_before", F.lit(""))).otherwise(F.col("text"))).drop("_nth", "_before", "_last")
+    placed = turns.withColumn(nth, F.row_number().over(w)).withColumn(before, F.lag("text").over(w))
+    placed = placed.withColumn(last, F.max(F.when(F.col("role") == "assistant", F.col(nth))).over(Window.partitionBy(pair_col)))
+    return placed.withColumn("text", F.when(F.col(nth) == F.col(last), F.coalesce(before, F.lit(""))).otherwise(F.col("text"))).drop(nth, before, last)

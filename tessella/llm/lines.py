@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import free, staged
 
 SITES = 10
 #: A sketch has 2**LG registers; its relative error is 1.04 / sqrt(2**LG), 1.6 % here.
@@ -49,15 +49,17 @@ def line_dedup(docs: DataFrame, sites: int = SITES, lg: int = LG, near: float =
     A line on at least ``sites`` sites stays where it comes first (by id, then position) and goes
     from everywhere else, so no content is lost altogether. Blank lines stay. Rows all stay: a
     text all of whose lines go is empty, a null text stays null. Rows without a site count as one
-    site. Equal rows count as one place and keep or lose the same lines. A column of ``docs`` that
+    site. Very long texts are read whole, all their lines count. An empty table has no rows. Equal rows count as one place and keep or lose the same lines. A column of ``docs`` that
     is named n_lines or n_removed is replaced.
     """
     seen = staged(occurrences(docs, id_col, text_col, site_col), "lines")
     common = boilerplate(seen, sites, lg, near)
-    gone = seen.join(common, ["h", "g"]).where(~F.struct("id", "text_hash", "pos").eqNullSafe(F.col("first"))).groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("_gone")).withColumnsRenamed({"id": "_id", "text_hash": "_hash"})
-    met = docs.join(gone, docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_hash")), "left")
+    lost, key, print_of = (free(n, docs) for n in ("gone", "gone_id", "gone_hash"))
+    first = F.struct("id", "text_hash", "pos").eqNullSafe(F.col("first"))
+    gone = seen.join(common, ["h", "g"]).where(~first).groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias(lost)).withColumnsRenamed({"id": key, "text_hash": print_of})
+    met = docs.join(gone, F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(print_of)), "left")
     lines = _lines(F.col(text_col))
-    left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed", text_col)]
-    out = met.select(*kept, F.when(F.col("_gone").isNull(), F.col(text_col).cast("string")).otherwise(left).alias(text_col), F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
-    return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+    left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(lost, i)), "\n")
+    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    text = F.when(F.col(lost).isNull(), F.col(text_col).cast("string")).otherwise(left).alias(text_col)
+    return met.select(*[text if c.lower() == text_col.lower() else F.col(f"`{c}`") for c in kept], F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size(lost), F.lit(0)).cast("long").alias("n_removed"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import remembered, staged
 
 CAPACITY = 4096
 #: Words, and their stems, whose ids a worker remembers before it starts anew.
@@ -100,13 +100,8 @@ class WordEncoder:
         return [whole[i] if i in whole else b"".join(map(look, words)) for i, words in enumerate(split)]
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return remembered(("packing", path), lambda: WordEncoder(path))
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 1, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -277,7 +272,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
     kept: list[Column] = [F.col(c) for c in pieces.columns if c not in ("part", "nth")]
-    ranked = pieces.join(before.hint("merge"), ["length", "part"]).withColumn("_at", place("length", F.col("before") + F.col("nth")))
+    # The side of counts is the one that is held, so that pieces with all their ids aren't sorted.
+    ranked = pieces.join(before.hint("shuffle_hash"), ["length", "part"]).withColumn("_at", place("length", F.col("before") + F.col("nth")))
     return ranked.select(*kept, "_at.sequence_id", "_at.offset")
 
 

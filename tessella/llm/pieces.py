@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import remembered, staged
 
 CHUNK = 1 << 15
 #: Matrices that are multiplied in one task.
@@ -235,13 +235,8 @@ def borders(matrices: list[np.ndarray], enter: int = 0, leave: int = 0) -> list[
     return states
 
 
-_vocabularies: dict[str, Vocabulary] = {}
-
-
 def vocabulary(path: str) -> Vocabulary:
-    if path not in _vocabularies:
-        _vocabularies[path] = Vocabulary(path)
-    return _vocabularies[path]
+    return remembered(("pieces", path), lambda: Vocabulary(path))
 
 
 def marked(text: str) -> str:

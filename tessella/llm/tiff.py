@@ -197,6 +197,8 @@ def pages(data: bytes) -> Iterator[Page]:
             raise TiffError("the file ends early") from None
 
     (at,), seen, number = value("I", 4), set(), 0
+    if not at:
+        raise TiffError("no directory")
     while at:
         if at in seen:
             raise TiffError("the directories form a circle")
@@ -207,6 +209,8 @@ def pages(data: bytes) -> Iterator[Page]:
             tag, kind, count = value("HHI", entry)
             if letter := TYPES.get(kind):
                 place = entry + 8
+                if not count:
+                    raise TiffError("a tag without a value")
                 if count * struct.calcsize(letter) > 4:
                     (place,) = value("I", place)
                 if place + count * struct.calcsize(letter) > len(data):
@@ -319,7 +323,8 @@ def tiff_pages(files: DataFrame, id_col: str, data_col: str) -> DataFrame:
     """One row for each page of each file: ``id_col``, then PAGES_DDL.
 
     Samples are in the machine's byte order, row by row. Pages before a fault are kept, the fault
-    is a row with null columns and ``error``; a null file is such a row. Repeated rows stay; other
+    is a row with null columns and ``error``; a null or empty file, a file without pages and a page of over 2 GiB of
+    samples, more than a row can hold, are such rows. Repeated rows stay; an empty table has no rows; other
     columns are not read.
     """
     kind = dict(files.dtypes)[id_col]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import free, staged
 
 #: Labelled rows that the model is fitted on at most, taken evenly by a hash of their id.
 LABELLED = 20_000
@@ -111,12 +111,14 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, words: int
 
     ``labels``: doc_id and toxic. At most about ``labelled`` rows are used; the chosen features
     and their sparse counts in those rows are all that reaches the driver. Labels without an
-    id, a verdict or a document don't count; of several for an id the highest does.
+    id, a verdict or a document don't count; of several for an id the highest does. Null and empty
+    texts have no words. Of features, the ``words`` that tell most are taken; the rest, which tell less, carry no weight.
     """
-    one = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("_toxic"))
+    own, verdict = free("label_id", docs), free("label_toxic", docs)
+    one = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias(own)).agg(F.max(F.col("toxic").cast("int")).alias(verdict))
     share = min(1.0, labelled / max(one.count(), 1))
-    picked = one.where(F.pmod(F.xxhash64(F.lit(17), "_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    text = staged(docs.join(F.broadcast(picked), F.col(id_col).cast("long") == F.col("_id")).select("_id", "_toxic", F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_text")), "labelled")
+    picked = one.where(F.pmod(F.xxhash64(F.lit(17), own), F.lit(1 << 30)) < int(share * (1 << 30)))
+    text = staged(docs.join(F.broadcast(picked), F.col(id_col).cast("long") == F.col(own)).select(F.col(own).alias("_id"), F.col(verdict).alias("_toxic"), F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_text")), "labelled")
     # Copies would make every word of theirs look typical: of equal texts with one verdict one counts.
     alike = text.groupBy(F.sha2("_text", 256), "_toxic").agg(F.min("_id").alias("_id")).select("_id")
     text = text.join(F.broadcast(alike), "_id", "left_semi")
@@ -183,11 +185,17 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.5, id_col:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``fit`` and ``score`` in one: a row for each row of ``docs``, as ``score`` says for nulls, empty
+    texts and repeats. Whole texts are read however long. Empty tables give no rows, empty labels no toxic ones."""
     return score(docs, fit(docs, labels), threshold)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not toxic, with all their columns, in one pass over the texts."""
+    """The rows of ``docs`` that are not toxic, with all their columns, in one pass over the texts.
+
+    Null and empty texts stay, equal texts all stay or all go, null ids count as any, and without
+    labels of both verdicts all rows stay. No column but the id and the text is read.
+    """
     model = fit(docs, labels, id_col=id_col, text_col=text_col)
 
     @F.pandas_udf("boolean")
