@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Words that are not counted as tokens, for retrieval, for evaluation, for grounding.
 STOP_RETRIEVAL = ["a", "an", "and", "are", "as", "at", "be", "by", "does", "for", "from", "how", "in", "is", "of", "on", "or", "the", "to", "what", "which", "with"]
 STOP_EVALUATION = ["a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "in", "on", "at", "to", "for", "of", "and", "or", "not", "with", "that", "this", "which", "what", "how", "does", "do", "from"]
+# Words that do not count when a thought is held against results.
+STOP_GROUNDING = ["the", "and", "are", "for", "from", "has", "have", "that", "this", "with", "was", "were", "been", "being", "will", "would", "could", "should", "may", "can", "not", "but", "also", "which", "their", "there", "than", "other", "more", "most", "such", "when", "what", "its", "does", "did", "had", "into", "over", "between", "through", "often", "includes", "including", "associated", "patients"]
 
 
 def col(c: Column | str) -> Column:

@@ -70,6 +70,13 @@ def mcq(s: Column, options: Column, form: str = "header", title: str = "Final Re
     return _first(rules)
 
 
+def mcq_unwrapped(s: Column, options: Column, title: str = "Final Response", last: str = "D") -> Column:
+    """``mcq`` on the text whose thoughts have been unwrapped first, so that a section inside them counts;
+    its rules speak of the final section."""
+    found = mcq(T.without_think_marks(s), options, "header", title, last)
+    return F.struct(found["pred"].alias("pred"), F.replace(found["parse_source"], F.lit("answer_section"), F.lit("final_section")).alias("parse_source"))
+
+
 def scopes(s: Column, form: str, title: str = "Final Response") -> tuple[Column, Column]:
     """The answer section (null without one), and the text without its thoughts or their marks."""
     if form == "tag":

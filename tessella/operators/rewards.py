@@ -34,6 +34,11 @@ def answer(prediction: Column, gold: Column, gold_letter: Column) -> Column:
     )
 
 
+def prediction(assistant: Column, last: Column) -> Column:
+    """What the first answer tag holds, even if that is nothing; without a tag the last assistant message that isn't empty."""
+    return F.coalesce(T.tag(assistant, "answer"), last)
+
+
 def tool_frequency(n_calls: Column) -> Column:
     return F.when(n_calls == 0, -0.3).when(n_calls <= 2, 0.4).otherwise(0.0)
 
@@ -49,7 +54,7 @@ def tool_quality(n_calls: Column, query_sim: Column, retrieval_sim: Column, grou
 
 def grounded(thoughts: Column, results: Column) -> Column:
     """At least three shared tokens of three letters and more, and a fifth of the thought's first fifteen."""
-    a, b = (T.tokens(s, T.STOP_EVALUATION, 3) for s in (thoughts, results))
+    a, b = (T.tokens(s, T.STOP_GROUNDING, 3) for s in (thoughts, results))
     shared = F.size(F.array_intersect(a, b))
     return (shared >= 3) & (F.try_divide(shared, F.least(F.size(a), F.lit(15))) >= 0.2)
 

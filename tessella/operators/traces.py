@@ -41,7 +41,7 @@ def gates(traces: DataFrame, expected: Column, skip_empty: bool = False, mismatc
     idle = (F.col("n_calls") > 0) & (F.size(thoughts) >= 2) & (F.col("n_responses") > 0) & (F.size(long_words) > 0) & ~F.exists(long_words, lambda w: F.contains(last, w))
     reason = (
         F.when(F.size(thoughts) == 0, "missing_think").when(predicted.isNull(), "missing_answer")
-        .when(wrong, F.concat(F.lit("wrong_answer:"), predicted, F.lit("!="), expected))
+        .when(wrong, F.concat(F.lit("wrong_answer:"), predicted, F.lit("≠"), expected))
         .when(~F.coalesce("calls_ok", F.lit(True)), "invalid_tool_call_json")
         .when(F.col("n_calls") != F.col("n_responses"), F.concat(F.lit("call_response_mismatch:"), counts))
         .when(idle, "no_retrieval_integration").otherwise("ok")

@@ -175,10 +175,10 @@ def g8_verbalize_paths(spark, sf_dir):
     return G.verbalize_paths(G.cap_paths(G.two_hop_paths(filtered(spark, sf_dir)), CAP)).select("pattern", "e0", "e1", "e2", "description")
 
 
-@query()
+@query(f"with {FILTERED} select cast(to_json({{'relation': relation, 'x_name': x_name, 'y_name': y_name}}) as varchar) as description from filtered")
 def g9_unknown_variant(spark, sf_dir):
     """A hyperedge of no known type is told as its JSON."""
-    return filtered(spark, sf_dir).limit(20).select(F.to_json(F.struct("relation", "x_name", "y_name")).alias("description"))
+    return filtered(spark, sf_dir).select(F.to_json(F.struct("relation", "x_name", "y_name")).alias("description"))
 
 
 @query(f"with {HYPER} select id, hedge_ord, type, relation, anchor, array_to_string(entities, '|') as entities, array_to_string(entity_types, '|') as entity_types, description from hg")
@@ -234,7 +234,7 @@ def u2_entity_names(spark, sf_dir):
     return e.select(F.col("x_name").alias("name")).union(e.select("y_name")).distinct()
 
 
-@query()
+@query(f"with {HYPER} select type, count(*) as n from hg group by 1 union all select 'index', count(*) from ix")
 def g15_graph_pipeline(spark, sf_dir):
     """Everything from edges to the entity table, counted by kind."""
     h = hedges(spark, sf_dir)

@@ -217,11 +217,11 @@ def n5_yes_no_maybe(spark, sf_dir):
     return items(spark, sf_dir).select("item_id", parsing.yes_no_maybe(s)["pred"].alias("pred"))
 
 
-@query(f"with {PARSED} select item_id, replace(parse_source, 'answer_section', 'final_section') as parse_source from parsed")
-def n6_section_labels(spark, sf_dir):
-    from .qa_queries import parsed
-
-    return parsed(spark, sf_dir).select("item_id", F.replace("parse_source", F.lit("answer_section"), F.lit("final_section")).alias("parse_source"))
+@query()
+def n6_unwrapped(spark, sf_dir):
+    """The first form of the parser: thoughts are unwrapped before the final section is looked for."""
+    rows = items(spark, sf_dir).withColumn("options", F.create_map(*[x for k in "abcd" for x in (F.lit(k.upper()), F.col(f"op{k}"))]))
+    return rows.select("item_id", parsing.mcq_unwrapped(F.concat(F.lit("<think>"), F.col("output"), F.lit("</think>")), F.col("options")).alias("p")).select("item_id", "p.*")
 
 
 @query("select i as rank, round(1.0::double / (i + 11), 9) as score from range(0, 20) t(i)")

@@ -19,7 +19,7 @@ su as (select conv_id, coalesce(string_agg(case when role = 'assistant' then coa
    from traces group by conv_id),
 gp as (select *, nullif(upper(regexp_extract(assistant_text, '(?i)<answer>\\s*([A-E])\\b', 1)), '') as predicted, {EXPECTED} as expected, regexp_extract_all(assistant_text, '(?s)<think>(.*?)</think>', 1) as thoughts,
    list_filter(string_split_regex(lower(tool_text), '\\s+'), lambda w: length(w) > 5 and regexp_matches(w, '^\\p{{L}}+$'))[1:20] as long_words from su),
-ga as (select *, case when len(thoughts) = 0 then 'missing_think' when predicted is null then 'missing_answer' when predicted <> expected then 'wrong_answer:' || predicted || '!=' || expected
+ga as (select *, case when len(thoughts) = 0 then 'missing_think' when predicted is null then 'missing_answer' when predicted <> expected then 'wrong_answer:' || predicted || '≠' || expected
    when not coalesce(calls_ok, true) then 'invalid_tool_call_json' when n_calls <> n_responses then 'call_response_mismatch:' || n_calls || 'calls/' || n_responses || 'resps'
    when n_calls > 0 and len(thoughts) >= 2 and n_responses > 0 and len(long_words) > 0 and len(list_filter(long_words, lambda w: contains(lower(thoughts[len(thoughts)]), w))) = 0 then 'no_retrieval_integration' else 'ok' end as reason from gp)""".replace("\\\\", "\\")
 

@@ -13,8 +13,6 @@ from .fixtures import table
 from .graph_queries import HYPER, hedges
 from .registry import query
 
-QUERY_IDS = 50
-
 
 def embeddings(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
@@ -22,20 +20,20 @@ def embeddings(spark, sf_dir):
 
 def parts(spark, sf_dir):
     e = embeddings(spark, sf_dir)
-    return e.where(F.col("id") < QUERY_IDS).withColumnRenamed("id", "query_id"), e.where(F.col("id") >= QUERY_IDS)
+    """The queries, every vector whose id is divisible by 100, and the corpus, all others."""
+    return e.where("id % 100 = 0").withColumnRenamed("id", "query_id"), e.where("id % 100 <> 0")
 
 
 DOT = "list_inner_product(a.embedding::double[], b.embedding::double[])"
 NEAREST = f"""
-nn as (select a.vec_id as query_id, b.vec_id as id, round({DOT}, 6) as sim, a.label as q_label, b.label as label from embeddings a, embeddings b where a.vec_id < {QUERY_IDS} and b.vec_id >= {QUERY_IDS}),
+nn as (select a.vec_id as query_id, b.vec_id as id, round({DOT}, 6) as sim, a.label as q_label, b.label as label from embeddings a, embeddings b where a.vec_id % 100 = 0 and b.vec_id % 100 <> 0),
 nr as (select *, row_number() over (partition by query_id order by sim desc, id) - 1 as rank from nn)"""
 
 
-@query(f"select a.vec_id as a, b.vec_id as b, round({DOT}, 6) as sim from embeddings a, embeddings b where a.vec_id < 10 and b.vec_id < 20")
+@query(f"select a.vec_id as a, b.vec_id as b, round({DOT}, 6) as sim from embeddings a, embeddings b where a.vec_id % 100 = 0")
 def v1_inner_product(spark, sf_dir):
     e = embeddings(spark, sf_dir)
-    a, b = e.where("id < 10").select(F.col("id").alias("a"), F.col("vector").alias("x")), e.where("id < 20").select(F.col("id").alias("b"), F.col("vector").alias("y"))
-    return a.crossJoin(F.broadcast(b)).select("a", "b", F.round(V.dot(F.col("x"), F.col("y")), 6).alias("sim"))
+    return R.scores(e.where("id % 100 = 0").withColumnRenamed("id", "query_id"), e).select(F.col("query_id").alias("a"), F.col("id").alias("b"), F.round("sim", 6).alias("sim"))
 
 
 @query("select vec_id as id, round(list_sum(list_transform(embedding, lambda x: x::double * 3 / greatest(sqrt(list_inner_product(embedding::double[], embedding::double[])) * 3, 1e-8))), 6) as total from embeddings")
@@ -44,12 +42,14 @@ def v2_normalized(spark, sf_dir):
     return embeddings(spark, sf_dir).select("id", F.round(F.aggregate(V.normalized(tripled), F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
-@query(f"select a.label, round(avg({DOT}), 6) as mean_sim, count(*) as n from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id where a.vec_id < 100 and b.vec_id < 100 group by 1")
+@query(f"select a.label, round(avg({DOT}), 6) as mean_sim, count(*) as n from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id group by 1")
 def v3_pairwise_mean(spark, sf_dir):
-    e = embeddings(spark, sf_dir).where("id < 100")
-    a, b = e.alias("a"), e.alias("b")
-    pairs = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.id") < F.col("b.id")))
-    return pairs.groupBy(F.col("a.label").alias("label")).agg(F.round(F.avg(V.dot(F.col("a.vector"), F.col("b.vector"))), 6).alias("mean_sim"), F.count("*").alias("n"))
+    """All pairs' mean without the pairs: the square of the sum is the sum of all products."""
+    e = embeddings(spark, sf_dir)
+    own = e.groupBy("label").agg(F.count("*").alias("n"), F.sum(V.dot(F.col("vector"), F.col("vector"))).alias("own"))
+    total = e.select("label", F.posexplode("vector").alias("at", "x")).groupBy("label", "at").agg(F.sum(F.col("x").cast("double")).alias("s")).groupBy("label").agg(F.sum(F.col("s") * F.col("s")).alias("all"))
+    pairs = F.col("n") * (F.col("n") - 1) / 2
+    return own.join(total, "label").where("n > 1").select("label", F.round((F.col("all") - F.col("own")) / 2 / pairs, 6).alias("mean_sim"), pairs.cast("long").alias("n"))
 
 
 @query("select vec_id as id, round((embedding[2]::double * embedding[3]::double) + (embedding[3]::double * embedding[4]::double), 6) as score from embeddings")
@@ -170,13 +170,13 @@ def sources(spark, sf_dir):
     names = G.entities(index).select(F.col("name").alias("id"), (F.conv(F.substring(F.md5("name"), 1, 8), 16, 10).cast("long") % 500).alias("vec"))
     hv = h.select("id", (F.col("hedge_ord") % 500).alias("vec")).join(v, "vec").select("id", "vector")
     ev = names.join(v, "vec").select("id", "vector")
-    q = e.where("id < 5").select(F.col("id").alias("query_id"), "vector").join(h.select((F.col("hedge_ord") / 40).cast("long").alias("query_id"), F.col("description").alias("text"), "hedge_ord").where("hedge_ord % 40 = 0").drop("hedge_ord"), "query_id")
+    q = e.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector").join(h.select((F.col("hedge_ord") / 40).cast("long").alias("query_id"), F.col("description").alias("text"), "hedge_ord").where("hedge_ord % 40 = 0").drop("hedge_ord"), "query_id")
     return q, h, hv, ev, index
 
 
 RETRIEVE = HYPER + f""",
 ent as (select name, cast(concat('0x', substring(md5(name), 1, 8)) as bigint) % 500 as vec from (select distinct name from ix)),
-qs as (select e.vec_id as query_id, e.embedding as qv, hg.description as text, {toks("hg.description")} as qt from embeddings e join hg on hg.hedge_ord = e.vec_id * 40 where e.vec_id < 5),
+qs as (select e.vec_id as query_id, e.embedding as qv, hg.description as text, {toks("hg.description")} as qt from embeddings e join hg on hg.hedge_ord = e.vec_id * 40 where e.vec_id % 100 = 0),
 hs as (select query_id, hg.id, round(list_inner_product(qv::double[], v.embedding::double[]), 6) as sim from hg join embeddings v on v.vec_id = hg.hedge_ord % 500, qs),
 hn as (select query_id, id, sim as he_sim, row_number() over (partition by query_id order by sim desc, id) - 1 as he_rank from hs),
 es as (select query_id, name, round(list_inner_product(qv::double[], v.embedding::double[]), 6) as sim from ent join embeddings v on v.vec_id = ent.vec, qs),
