@@ -36,7 +36,7 @@ def test_graph_rules(spark, edges):
 
 def test_dense_ordinal(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"))
-    assert [(r["v"], r["ordinal"]) for r in G.dense_ordinal(df, ["v"], partitions=5).orderBy("v").collect()] == [(i, i) for i in range(1000)]
+    assert [(r["v"], r["ordinal"]) for r in G.dense_ordinal(df, ["v"]).orderBy("v").collect()] == [(i, i) for i in range(1000)]
 
 
 def test_hypergraph_files(spark, edges, tmp_path):
