@@ -22,17 +22,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import remembered, staged
 
 CHUNK = 1 << 15
 #: Matrices that are multiplied in one task.
 FAN = 64
+#: Whole texts, or chunks of long ones, that a worker holds as strings at once.
+ROWS, CHUNKS = 100, 8
 SPACE = "▁"
 LOW = float("-inf")
 #: What a character costs that is spelled in bytes: more than any piece but those never to be used.
 BYTES = -100_000.0
-REMEMBERED = 600_000
+#: Words that a worker holds with their ids, in two generations.
+REMEMBERED = 200_000
 
 
 class Vocabulary:
@@ -60,8 +64,9 @@ class Vocabulary:
         word = rf"{SPACE}*\w+(?=[{re.escape(marks)}])|" if marks else ""
         self.words = re.compile(f"\n|{word}{SPACE}*[^{SPACE}\n]+|{SPACE}+") if not crosses else re.compile(r"(?s).+")
         self.gain = np.array([self.score[t] if t in self.score else BYTES if r and r[0] & 0xC0 != 0x80 else 0.0 for t, r in zip(self.texts, self.raw, strict=True)])
-        #: Words and their ids. Giant words are not kept.
+        #: Words and their ids, and those of the generation before. Giant words are not kept.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.solver = self._solver()
         #: The score of each beginning of a piece; LOW for those that aren't pieces themselves.
         self.beginning: dict[str, float] = {p[:n]: LOW for p in self.id for n in range(1, len(p))} | self.score
@@ -119,8 +124,8 @@ class Vocabulary:
     def learn(self, words: list[str]) -> dict[str, bytes]:
         """The ids of many words. Those with a character that is no piece, where the library gives 0, are searched here."""
         out = {}
-        for at in range(0, len(words), 20_000):
-            some = words[at : at + 20_000]
+        for at in range(0, len(words), 5_000):
+            some = words[at : at + 5_000]
             for word, found in zip(some, self.solver.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 ids = found.ids
                 out[word] = self.word(word) if 0 in ids or "\0" in word else np.array(ids, np.int32).tobytes()
@@ -131,12 +136,15 @@ class Vocabulary:
 
     def all_words(self, split: list[list[str]]) -> list[bytes]:
         """The ids of each list of words."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
+        if len(self.known) > REMEMBERED // 2:
+            self.older, self.known = self.known, {}
         known = self.known
         fresh: set[str] = set()
         for words in split:
             fresh.update(w for w in words if w not in known)
+        again = {w: self.older[w] for w in fresh if w in self.older}
+        known.update(again)
+        fresh.difference_update(again)
         giant = {}
         if fresh:
             found = self.learn(list(fresh))
@@ -203,9 +211,12 @@ class Vocabulary:
 
     def decode(self, ids: list[int]) -> bytes:
         """UTF-8 of the text; the mark before the first word is dropped."""
-        raw = b"".join(map(self.raw.__getitem__, ids)).replace(b"\xe2\x96\x81", b" ")
+        raw = self.spelled(ids)
         return raw[1:] if raw[:1] == b" " else raw
 
+    def spelled(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.raw.__getitem__, ids)).replace(b"\xe2\x96\x81", b" ")
+
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The max-plus product, which is associative: chunk a, then chunk b."""
@@ -249,6 +260,12 @@ def _lists(ids: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            yield whole.slice(at, rows)
+
+
 def border_states(matrices: DataFrame, key: list[str], reach: int, most: int, fan: int = FAN) -> DataFrame:
     """key, chunk, enter and leave: the states at the borders of every chunk.
 
@@ -306,12 +323,10 @@ def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK, fan: int = FAN,
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                ids = v.all_words([v.words.findall(marked(t)) for t in b.column(1).to_pylist()])
-                zero = np.zeros(b.num_rows, np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(zero), pa.array(zero + np.int32(1)), b.column(2), _lists(ids)], names=["doc_id", "chunk", "n_chunks", "text_hash", "ids"])
+        for b in _slices(batches, ROWS):
+            ids = v.all_words([v.words.findall(marked(t)) for t in b.column(1).to_pylist()])
+            zero = np.zeros(b.num_rows, np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(zero), pa.array(zero + np.int32(1)), b.column(2), _lists(ids)], names=["doc_id", "chunk", "n_chunks", "text_hash", "ids"])
 
     one = rows.where("n_chunks = 1").select("doc_id", "text", "text_hash").mapInArrow(short, "doc_id long, chunk int, n_chunks int, text_hash long, ids array<int>")
     key = ["doc_id", "text_hash"]
@@ -322,26 +337,27 @@ def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK, fan: int = FAN,
     cut = cut.withColumn("text", F.expr(f"substring(text, chunk * {chunk} + 1, {chunk + reach})")).withColumn("size", F.least(F.length("text"), F.lit(chunk)))
     cut = staged(cut.repartition(F.col("doc_id"), F.col("text_hash"), F.col("chunk")), "chunks")
 
-    @F.pandas_udf("array<double>")
-    def transfer(text, size):
-        import pandas as pd
-
+    def transfer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_path)
-        return pd.Series([v.matrix(t, s).ravel() for t, s in zip(text, size, strict=True)])
+        for b in _slices(batches, CHUNKS):
+            ms = [v.matrix(t, s).ravel() for t, s in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+            ends = np.arange(len(ms) + 1, dtype=np.int32) * np.int32(reach * reach)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ms)))], names=[*key, "chunk", "m"])
 
-    matrices = staged(cut.select(*key, "chunk", transfer("text", "size").alias("m")), "matrices")
+    matrices = staged(cut.select(*key, "chunk", "text", "size").mapInArrow(transfer, "doc_id long, text_hash long, chunk int, m array<double>"), "matrices")
     most = matrices.agg(F.max("chunk")).first()[0] or 0
     states = border_states(matrices, key, reach, most, fan).withColumnsRenamed({"doc_id": "of_doc", "text_hash": "of_text", "chunk": "of_chunk"})
     ready = cut.join(states, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_text")) & (F.col("chunk") == F.col("of_chunk")))
 
-    @F.pandas_udf("array<int>")
-    def traced(text, size, enter, leave):
-        import pandas as pd
+    same = ["doc_id", "chunk", "n_chunks", "text_hash", "copies"]
 
+    def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_path)
-        return pd.Series([np.frombuffer(v.encode(*row), np.int32) for row in zip(text, size, enter, leave, strict=True)])
+        for b in _slices(batches, CHUNKS):
+            ids = [v.encode(*row) for row in zip(*(c.to_pylist() for c in b.columns[5:]), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], _lists(ids)], names=[*same, "ids"])
 
-    split = ready.select("doc_id", "chunk", "n_chunks", "text_hash", "copies", traced("text", "size", "enter", "leave").alias("ids"))
+    split = ready.select(*same, "text", "size", "enter", "leave").mapInArrow(traced, "doc_id long, chunk int, n_chunks int, text_hash long, copies long, ids array<int>")
     return one.unionByName(split.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies", "copy"))
 
 
@@ -351,12 +367,18 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     No chunk ends inside a character. A first chunk loses the space mark that encoding put before the text. Null ids give null.
     """
 
-    @F.pandas_udf("binary")
-    def joined(chunk, ids):
-        import pandas as pd
+    rows = encoded.drop("text")
+    at = {c.lower(): i for i, c in enumerate(rows.columns)}
 
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_path)
-        raw = lambda i: b"".join(map(v.raw.__getitem__, i)).replace(b"\xe2\x96\x81", b" ")
-        return pd.Series([None if i is None else v.decode(i.tolist()) if c == 0 else raw(i.tolist()) for c, i in zip(chunk, ids, strict=True)])
-
-    return encoded.withColumn("text", joined("chunk", "ids"))
+        for b in _slices(batches, ROWS):
+            ids = b.column(at["ids"])
+            values, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+            out = []
+            for i, chunk in enumerate(b.column(at["chunk"]).to_pylist()):
+                one = values[ends[i] : ends[i + 1]].tolist()
+                out.append(None if not ids[i].is_valid else v.decode(one) if chunk == 0 else v.spelled(one))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "text"])
+
+    return rows.mapInArrow(joined, StructType([*rows.schema.fields, StructField("text", BinaryType())]))
