@@ -36,7 +36,7 @@ LOW = float("-inf")
 #: What a character costs that is spelled in bytes: more than any piece but those never to be used.
 BYTES = -100_000.0
 #: Words that a worker holds with their ids, in two generations.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 
 
 class Vocabulary:
@@ -376,9 +376,9 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
             ids = b.column(at["ids"])
             values, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
             out = []
-            for i, chunk in enumerate(b.column(at["chunk"]).to_pylist()):
+            for i, (chunk, known) in enumerate(zip(b.column(at["chunk"]).to_pylist(), ids.is_valid().to_pylist(), strict=True)):
                 one = values[ends[i] : ends[i + 1]].tolist()
-                out.append(None if not ids[i].is_valid else v.decode(one) if chunk == 0 else v.spelled(one))
+                out.append(None if not known else v.decode(one) if chunk == 0 else v.spelled(one))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "text"])
 
     return rows.mapInArrow(joined, StructType([*rows.schema.fields, StructField("text", BinaryType())]))

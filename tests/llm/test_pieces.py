@@ -131,3 +131,10 @@ def test_encode(spark, v):
         assert {len(x) for x in one.values()} == {rows.count((i, text or None, "x")) if text else 1} or i is None
     assert total == len(coded)
     assert pieces.encode(docs.limit(0), PATH).collect() == []
+
+
+def test_decode_of_null_ids_and_other_columns(spark, v):
+    ids = v.id["▁the"], v.id["▁the"]
+    rows = [(0, [ids[0]], "x"), (1, [ids[0]], "x"), (0, None, None), (0, [], "y"), (None, [ids[1]], "z")]
+    got = pieces.decode(spark.createDataFrame(rows, "chunk int, ids array<int>, text string"), PATH).collect()
+    assert [None if r["text"] is None else bytes(r["text"]) for r in got] == [b"the", b" the", None, b"", b" the"]
