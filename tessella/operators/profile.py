@@ -59,6 +59,17 @@ def readiness(with_tool: Column, without: Column, margin: float = 0.02) -> Colum
     return F.when(gain > margin, "ready").when(gain > -margin, "marginal").otherwise("not ready")
 
 
+def tool_report(df: DataFrame, right: Column, n_calls: Column, words: Column, by: list[str]) -> DataFrame:
+    """Accuracy with and without calls, where a side without rows counts 0, and what can be said of it.
+
+    A null ``right`` is wrong. Rows of one side only give "cannot assess"."""
+    hit, called = F.coalesce(right, F.lit(False)).cast("int"), n_calls > 0
+    share = lambda cond: F.coalesce(F.avg(F.when(cond, hit)), F.lit(0.0))
+    out = df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(called).alias("n_with"), F.round(share(called), 6).alias("acc_with"), F.round(share(~called), 6).alias("acc_without"), F.round(F.avg(words), 6).alias("mean_words"))
+    one_sided = (F.col("n_with") == 0) | (F.col("n_with") == F.col("n"))
+    return out.withColumn("verdict", F.when(one_sided, "cannot assess").otherwise(readiness(F.col("acc_with"), F.col("acc_without"))))
+
+
 def token_accuracy(predicted: Column, labels: Column) -> tuple[Column, Column]:
     """Hits and trained places of next-token predictions: place i predicts label i + 1."""
     shifted = F.slice(labels, 2, F.greatest(F.size(labels) - 1, F.lit(0)))

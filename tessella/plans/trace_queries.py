@@ -57,6 +57,14 @@ def a14_conditional_accuracy(spark, sf_dir):
     return gated(spark, sf_dir).agg(F.round(F.avg(F.when(n > 0, right)), 4).alias("acc_tool"), F.round(F.avg(F.when(n == 0, right)), 4).alias("acc_none"), F.round(F.avg((n > 0).cast("int")), 4).alias("tool_rate"), F.round(F.avg("n_calls"), 3).alias("mean_calls"), F.round(F.avg((n >= 2).cast("int")), 4).alias("multi_rate"))
 
 
+@query(f"""with {SUMMED}, h as (select conv_id % 3 as part, n_calls, cast(coalesce(predicted, '') = expected as int) as hit, {WC.format('assistant_text')} as words from ga),
+r as (select part, count(*) as n, count(*) filter (where n_calls > 0) as n_with, round(coalesce(avg(hit) filter (where n_calls > 0), 0.0), 6) as acc_with, round(coalesce(avg(hit) filter (where n_calls = 0), 0.0), 6) as acc_without, round(avg(words), 6) as mean_words from h group by 1)
+select *, case when n_with = 0 or n_with = n then 'cannot assess' when acc_with - acc_without > 0.02 then 'ready' when acc_with - acc_without > -0.02 then 'marginal' else 'not ready' end as verdict from r""")
+def a14b_tool_report(spark, sf_dir):
+    g = gated(spark, sf_dir).withColumn("part", F.col("conv_id") % 3)
+    return profile.tool_report(g, F.col("predicted") == expected_letter(), F.col("n_calls"), T.word_count(F.col("assistant_text")), ["part"])
+
+
 @query(f"""with {TRACES} select conv_id, seq, role, case when role = 'assistant' and tool_query is not null and trim(coalesce(content, '')) = '' then concat('<think>', chr(10), 'I need to look up information about ', tool_query, '.', chr(10), '</think>') else coalesce(content, '') end as content,
  case when tool_query is not null then '{{"id":"call_0","type":"function","function":{{"name":"search","arguments":"{{\\"query\\":\\"' || tool_query || '\\"}}"}}}}' end as tool_call from traces""".replace("\\\\", "\\"))
 def c3_cleaned_messages(spark, sf_dir):
