@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chaining, chat, lines, packing, pieces, pii, quality, simhash, tiff, toxicity
+from . import chaining, chat, infill, lines, packing, pieces, pii, quality, simhash, tiff, toxicity
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,7 +66,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_preference_chat, op3_sentencepiece, op4_substring_dedup, op5_tiff_media, op6_toxicity, op7_line_dedup, op8_pii, op9_quality, op10_simhash)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.fill_in_middle(read(spark, sf_dir, "documents")).drop("output")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_preference_chat, op3_sentencepiece, op4_substring_dedup, op5_tiff_media, op6_toxicity, op7_line_dedup, op8_pii, op9_quality, op10_simhash, op11_fill_in_middle)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_preference_chat": """
@@ -109,5 +113,29 @@ m as (
 select doc_id, coalesce(string_agg(line, chr(10) order by pos) filter (where gone = 0), '') as text,
        cast(count(*) as bigint) as n_lines, cast(sum(gone) as bigint) as n_removed
 from m group by doc_id
+""",
+    "op11_fill_in_middle": """
+with t as (select doc_id, coalesce(text, '') as text, sha256('7:' || doc_id) as d from documents),
+w as (
+  select doc_id, text, string_split(text, chr(10)) as cells,
+         len(string_split(text, chr(10))) - case when text = '' or right(text, 1) = chr(10) then 1 else 0 end as n,
+         ('0x' || d[1:8])::bigint as h1, ('0x' || d[9:16])::bigint as h2, ('0x' || d[17:24])::bigint as h3, ('0x' || d[25:32])::bigint as h4
+  from t),
+f as (
+  select doc_id, text, n, cells, least(h1 % (n + 1), h2 % (n + 1)) as lo, greatest(h1 % (n + 1), h2 % (n + 1)) as hi,
+         case when text = '' or text like '%<P>%' or text like '%<S>%' or text like '%<M>%' or h3 % 100 >= 100 then 'plain'
+              when h4 % 100 < 50 then 'spm' else 'psm' end as form
+  from w),
+c as (
+  select *, case when lo = 0 then 0 when lo = n then length(text) else length(array_to_string(cells[1:lo], chr(10))) + 1 end as x,
+         case when hi = 0 then 0 when hi = n then length(text) else length(array_to_string(cells[1:hi], chr(10))) + 1 end as y from f),
+o as (
+  select *, case form when 'plain' then text
+    when 'psm' then '<P>' || left(text, x) || '<S>' || substring(text, y + 1) || '<M>' || substring(text, x + 1, y - x)
+    else '<S>' || substring(text, y + 1) || '<P>' || left(text, x) || '<M>' || substring(text, x + 1, y - x) end as output from c)
+select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then cast(x as bigint) end as prefix_chars,
+       case when form <> 'plain' then cast(y - x as bigint) end as middle_chars,
+       sha256(output) as output_sha256, sha256(text) as restored_sha256
+from o
 """,
 }
