@@ -100,7 +100,7 @@ def fill_in_middle(docs: DataFrame, seed: int = SEED, rate: int = RATE, spm: int
                 for piece in _slices(batch):
                     table = pa.table({"nth": pa.array(range(len(piece)), pa.int64()), "id": piece["key"], "text": piece["text"]})
                     con.register("given", table)
-                    made = con.execute(sql).to_arrow_table()
+                    made = con.sql(sql).to_arrow_table()
                     con.unregister("given")
                     out = [piece["id"]] + [made[c].combine_chunks().cast(pa.string() if pa.types.is_string(made[c].type) or pa.types.is_large_string(made[c].type) else pa.int64()) for c in names]
                     yield pa.RecordBatch.from_arrays(out, names=["id", *names])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chaining, chat, infill, lines, packing, pieces, pii, quality, simhash, tiff, toxicity
+from . import chaining, chat, infill, lines, packing, phrases, pieces, pii, quality, simhash, tiff, toxicity
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,7 +70,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.fill_in_middle(read(spark, sf_dir, "documents")).drop("output")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_preference_chat, op3_sentencepiece, op4_substring_dedup, op5_tiff_media, op6_toxicity, op7_line_dedup, op8_pii, op9_quality, op10_simhash, op11_fill_in_middle)}
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_preference_chat, op3_sentencepiece, op4_substring_dedup, op5_tiff_media, op6_toxicity, op7_line_dedup, op8_pii, op9_quality, op10_simhash, op11_fill_in_middle, op13_phrase_collocations)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_preference_chat": """
@@ -137,5 +141,34 @@ select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then cast
        case when form <> 'plain' then cast(y - x as bigint) end as middle_chars,
        sha256(output) as output_sha256, sha256(text) as restored_sha256
 from o
+""",
+    "op13_phrase_collocations": """
+with p as (
+  select coalesce(lang, 'und') as lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece
+  from documents),
+w as (select lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda x: x <> '') as words from p),
+g as (
+  select lang, m, unnest(list_transform(range(1, len(words) - m + 2), lambda i: array_to_string(words[i:i + m - 1], ' '))) as phrase
+  from w, (values (1), (2), (3), (4)) v(m) where len(words) >= m),
+f as (select lang, m, phrase, count(*) as c from g group by all),
+t as (select lang, sum(len(words)) as n from w group by lang),
+d as (select lang, m, phrase, c as a, string_split(phrase, ' ') as words from f where m >= 2 and c >= 30),
+e as (
+  select lang, phrase, a, k, array_to_string(words[1:k], ' ') as head, array_to_string(words[k + 1:], ' ') as tail
+  from d, (values (1), (2), (3)) v(k) where k < m),
+h as (select lang, phrase, c from f where m < 4 and c >= 30),
+s as (
+  select e.lang, e.phrase, e.a, k, x.c as l, y.c as r, (2000000::hugeint * e.a) // (x.c + y.c) as score
+  from e join h x on x.lang = e.lang and x.phrase = e.head join h y on y.lang = e.lang and y.phrase = e.tail),
+b as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+i as (
+  select lang, a as whole, unnest(list_transform(range(1, m - j + 2), lambda q: array_to_string(words[q:q + j - 1], ' '))) as phrase
+  from d, (values (2), (3)) v(j) where j < m),
+o as (select lang, phrase, max(whole) as whole from i group by all),
+k as (select b.* from b left join o using (lang, phrase) where o.whole is null or 100::hugeint * o.whole < 80::hugeint * b.a),
+z as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from k)
+select lang, cast(rank as bigint) as rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score
+from z join t using (lang) where rank <= 2000
 """,
 }
