@@ -44,6 +44,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Write ``df`` to the shared folder in buckets of ``keys``, as many as shuffles have partitions, and read it back.
+
+    A join on the keys then moves the other side alone. The files go when the driver's process ends.
+    """
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/staged/{table}"
+    df.write.option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).saveAsTable(table)
+    atexit.register(_remove, spark, path)
+    return spark.table(table)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

@@ -169,7 +169,8 @@ def count_prefixes(strings: pa.Array, counts: np.ndarray, least: int) -> Iterato
             stack[depth] = 0
             depth -= 1
             stack[depth] += count
-        edge = min(edge, common) if row else edge
+        if common < edge and row:
+            edge = common
         depth = deep
         stack[depth] += n
     while depth:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chaining, chat, infill, lines, packing, phrases, pieces, pii, quality, simhash, tiff, toxicity
+from . import chaining, chat, infill, lines, packing, phrases, pieces, pii, quality, repeats, simhash, tiff, toxicity
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,11 +70,15 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.fill_in_middle(read(spark, sf_dir, "documents")).drop("output")
 
 
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_preference_chat, op3_sentencepiece, op4_substring_dedup, op5_tiff_media, op6_toxicity, op7_line_dedup, op8_pii, op9_quality, op10_simhash, op11_fill_in_middle, op13_phrase_collocations)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_preference_chat, op3_sentencepiece, op4_substring_dedup, op5_tiff_media, op6_toxicity, op7_line_dedup, op8_pii, op9_quality, op10_simhash, op11_fill_in_middle, op12_suffix_array_dedup, op13_phrase_collocations)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_preference_chat": """
