@@ -30,8 +30,9 @@ WINDOW, SEED = 400, 64
 HOT = 4096
 #: Bytes of contexts that are sorted together, unless the contexts of one seed are more.
 SHARD_BYTES = 3 << 20
-#: Fingerprints that one task merges, about.
-MERGE_ROWS = 1 << 20
+#: Fingerprints that one task merges, about, and that one row holds.
+MERGE_ROWS, RUN_ROWS = 1 << 20, 1 << 15
+MARK = [("f1", np.int64), ("f2", np.int64), ("t1", np.int64), ("t2", np.int64), ("start", np.int64)]
 
 _LEVELS = np.array([1 << 8 * k for k in range(8)], np.uint64)
 
@@ -223,9 +224,9 @@ class _Shard:
         self.held[context].append(place)
         self.copies[context] = self.copies.get(context, 0) + 1 + twice
 
-    def solve(self, window: int) -> tuple[list[tuple], list[tuple]]:
-        """Spans (t1, t2, from, to) of the windows that come twice here, and for hot seeds a fingerprint of each distinct window, with its place if it comes once."""
-        spans, marks = [], []
+    def solve(self, window: int) -> tuple[list[tuple], np.ndarray]:
+        """Spans (t1, t2, from, to) of the windows that come twice here, and of hot seeds a sorted run of ``MARK``: a fingerprint of each distinct window, with its place if it comes once."""
+        spans, marks = [], np.empty(0, MARK)
         contexts, places = [*self.held], [*self.held.values()]
         sizes = np.array([len(c) for c in contexts])
         data = np.frombuffer(b"".join(contexts), np.uint8)
@@ -251,14 +252,15 @@ class _Shard:
         if hot.any():
             _, one = np.unique(kinds, return_index=True)
             one = one[hot[of[one]]]
-            f1, f2 = _rolling(data, window, 0)[at[one]], _rolling(data, window, 77)[at[one]]
-            for i, a, b in zip(one.tolist(), f1.view(np.int64).tolist(), f2.view(np.int64).tolist(), strict=True):
-                t1, t2, first = places[of[i]][0]
-                marks.append((a, b, t1, t2, None if twice[i] else first + int(i - firsts[of[i]])))
+            marks = np.empty(len(one), MARK)
+            marks["f1"], marks["f2"] = (_rolling(data, window, salt)[at[one]].view(np.int64) for salt in (0, 77))
+            marks["t1"], marks["t2"], first = np.array([places[c][0] for c in of[one]], np.int64).reshape(-1, 3).T
+            marks["start"] = np.where(twice[one], -1, first + one - firsts[of[one]])
+            marks = marks[np.argsort(marks["f1"])]
         return spans, marks
 
 
-FOUND = pa.schema([("f1", pa.int64()), ("f2", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+FOUND = "t1 long, t2 long, start long, end long, n_marks long, run binary"
 
 
 def _repeats_of(window: int, shard_bytes: int, hot: int):
@@ -267,9 +269,11 @@ def _repeats_of(window: int, shard_bytes: int, hot: int):
 
         def solved() -> pa.RecordBatch:
             spans, marks = shard.solve(window)
-            rows = [(None, None, *s) for s in spans] + [(*m, None) for m in marks]
+            runs = [marks[i : i + RUN_ROWS] for i in range(0, len(marks), RUN_ROWS)]
+            rows = [(*s, None, None) for s in spans] + [(None, None, None, None, len(r), r.tobytes()) for r in runs]
             columns = zip(*rows, strict=True) if rows else [()] * 6
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=FOUND)
+            kinds = [*[pa.int64()] * 5, pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in FOUND.split(", ")])
 
         for batch in batches:
             for h, salt, n_seed, t1, t2, first, twice, context in zip(*(batch[c].to_pylist() for c in ("h", "salt", "n_seed", "t1", "t2", "first", "twice", "context")), strict=True):
@@ -284,20 +288,35 @@ def _repeats_of(window: int, shard_bytes: int, hot: int):
     return work
 
 
-MARK = [("f1", np.int64), ("f2", np.int64), ("t1", np.int64), ("t2", np.int64), ("start", np.int64)]
+def _cut_of(ranges: int):
+    """Each sorted run cut into ranges of fingerprints, their bounds found by binary search."""
+    bounds = np.array([(1 << 64) * i // ranges - (1 << 63) for i in range(ranges)] + [(1 << 63) - 1], np.int64)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch["run"]:
+                run = np.frombuffer(data.as_buffer(), MARK)
+                at = np.searchsorted(run["f1"], bounds)
+                at[-1] = len(run)
+                some = np.flatnonzero(np.diff(at))
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([run[at[i] : at[i + 1]].tobytes() for i in some], pa.binary())], names=["range", "run"])
+
+    return work
 
 
 def _merge_of(window: int):
+    """The runs of a range merged: of windows that two of them have, the places that are left."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = []
+        held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            run = np.empty(len(batch), MARK)
-            for c, _ in MARK:
-                run[c] = batch[c].fill_null(-1).to_numpy()
-            runs.append(run[np.argsort(run["f1"])])
-        while len(runs) > 1:
-            runs = [_merged(*runs[i : i + 2]) if i + 1 < len(runs) else runs[i] for i in range(0, len(runs), 2)]
-        for run in runs:
+            for i, data in zip(batch["range"].to_pylist(), batch["run"], strict=True):
+                held.setdefault(i, []).append(np.frombuffer(data.as_buffer(), MARK))
+        for i in [*held]:
+            runs = held.pop(i)
+            while len(runs) > 1:
+                runs = [_merged(*runs[i : i + 2]) if i + 1 < len(runs) else runs[i] for i in range(0, len(runs), 2)]
+            run = runs[0]
             if (run["f1"][1:] == run["f1"][:-1]).any():
                 run = run[np.lexsort((run["f2"], run["f1"]))]
             same = (run["f1"][1:] == run["f1"][:-1]) & (run["f2"][1:] == run["f2"][:-1])
@@ -353,11 +372,12 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, seed: int = SEED, hot
     # Equal contexts go to one shard, however many shards their seed has.
     salt = F.when(F.col("n_seed") > hot, F.pmod(F.xxhash64("context"), F.ceil(F.col("n_seed") / hot))).otherwise(0)
     dealt = contexts.withColumn("salt", salt).repartition("h", "salt").sortWithinPartitions("h", "salt")
-    solved = staged(dealt.mapInArrow(_repeats_of(window, shard_bytes, hot), "f1 long, f2 long, t1 long, t2 long, start long, end long"), "repeats")
-    marks = solved.where("f1 is not null")
-    merged = marks.repartition(1 + marks.count() // MERGE_ROWS, "f1").mapInArrow(_merge_of(window), "t1 long, t2 long, start long, end long")
+    solved = staged(dealt.mapInArrow(_repeats_of(window, shard_bytes, hot), FOUND), "repeats")
+    runs = solved.where("run is not null")
+    ranges = 1 + runs.agg(F.coalesce(F.sum("n_marks"), F.lit(0))).first()[0] // MERGE_ROWS
+    merged = runs.select("run").mapInArrow(_cut_of(ranges), "range int, run binary").repartitionById(ranges, "range").mapInArrow(_merge_of(window), "t1 long, t2 long, start long, end long")
     own = found.where("h is null").select("t1", "t2", F.col("first").alias("start"), (F.col("first") + F.col("more") + window).alias("end"))
-    return solved.where("f1 is null").select("t1", "t2", "start", "end").unionByName(merged).unionByName(own)
+    return solved.where("run is null").select("t1", "t2", "start", "end").unionByName(merged).unionByName(own)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, hot: int = HOT, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

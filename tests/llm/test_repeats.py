@@ -50,7 +50,10 @@ def got(frame):
 
 
 @pytest.mark.parametrize("window, seed, hot, shard", [(40, 8, 4096, 1 << 20), (40, 8, 2, 100), (25, 5, 1, 1), (400, 64, 4096, 3 << 20), (400, 64, 3, 1)])
-def test_against_brute_force(spark, window, seed, hot, shard):
+def test_against_brute_force(spark, monkeypatch, window, seed, hot, shard):
+    if hot < 100:
+        monkeypatch.setattr(repeats, "MERGE_ROWS", 500)
+        monkeypatch.setattr(repeats, "RUN_ROWS", 70)
     rows = made(window)
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     out = repeats.remove_repeats(docs, window, seed, hot, shard)
