@@ -2,39 +2,120 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import tokens
 from tessella.functions.vectors import dot
 
-#: Queries that are broadcast together at most; more are dealt in blocks of this size.
-QUERY_BLOCK = 4096
+#: Vectors of the corpus and of the queries that one matrix product takes.
+CORPUS_BLOCK, QUERY_BLOCK = 4096, 512
+#: Bytes of query vectors that are broadcast together; more queries pass over the corpus in turn.
+QUERY_BYTES = 64 << 20
 
 
 def scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """query_id, id and sim of each query against all of the corpus, in blocks of queries.
+    """query_id, id and sim of each query against all of the corpus: a row a pair, where all of them are wanted.
 
-    ``queries``: query_id, vector. ``corpus``: id, vector. The queries are a stated set; each block
-    of them is one broadcast array that passes over the corpus, which is never shuffled.
+    ``queries``: query_id, vector. ``corpus``: id, vector. Queries are broadcast in passes of
+    ``QUERY_BYTES`` at most; the corpus is never shuffled.
     """
-    blocks = queries.select("query_id", "vector").withColumn("block", F.floor((F.row_number().over(Window.orderBy("query_id")) - 1) / QUERY_BLOCK)) if queries.count() > QUERY_BLOCK else queries.select("query_id", "vector").withColumn("block", F.lit(0))
-    held = blocks.groupBy("block").agg(F.collect_list(F.struct("query_id", "vector")).alias("q"))
-    pairs = corpus.select("id", F.col("vector").alias("v")).crossJoin(F.broadcast(held)).select("id", "v", F.explode("q").alias("q"))
-    return pairs.select("q.query_id", "id", dot(F.col("q.vector"), F.col("v")).alias("sim"))
+    out = None
+    for mine in _passes(queries):
+        pairs = corpus.select("id", F.col("vector").alias("v")).crossJoin(F.broadcast(mine.select("query_id", "vector")))
+        found = pairs.select("query_id", "id", dot(F.col("vector"), F.col("v")).alias("sim"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _passes(queries: DataFrame) -> list[DataFrame]:
+    """The queries in parts of at most ``QUERY_BYTES`` or so."""
+    size = queries.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0)) * 8).first()[0]
+    n = max(1, -(-size // QUERY_BYTES))
+    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) if n > 1 else queries for i in range(n)]
+
+
+def _packed(rows: DataFrame, id_col: str, size: int) -> DataFrame:
+    """ids and matrix, the doubles of the vectors of at most ``size`` rows, ids in order; rows without a vector are left out."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pc.is_valid(batch["vector"]))
+            batch = batch.take(pc.array_sort_indices(batch[id_col]))
+            for lo in range(0, len(batch), size):
+                part = batch.slice(lo, size)
+                matrix = part["vector"].flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                ids = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part[id_col])
+                yield pa.RecordBatch.from_arrays([ids, pa.array([matrix.tobytes()], pa.binary())], names=["ids", "matrix"])
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    return rows.select(id_col, "vector").mapInArrow(work, f"ids array<{kind}>, matrix binary")
+
+
+def _best(k: int, places: int):
+    """Of each pair of blocks the ``k`` best of every query: a matrix product, and a threshold a query."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                q_ids, ids = batch["q_ids"][i].values, batch["ids"][i].values
+                q, c = (np.frombuffer(batch[m][i].as_buffer(), np.float64).reshape(len(n), -1) for m, n in (("q_matrix", q_ids), ("matrix", ids)))
+                sims = np.round(q @ c.T, places)
+                few = min(k, len(ids))
+                least = np.partition(sims, len(ids) - few, axis=1)[:, len(ids) - few]
+                row, col = np.nonzero(sims >= least[:, None])
+                value = sims[row, col]
+                # Ties at the threshold go to the smaller id; ids are in order.
+                order = np.lexsort((col, -value, row))
+                row, col, value = row[order], col[order], value[order]
+                nth = np.arange(len(row)) - np.searchsorted(row, row)
+                row, col, value = (x[nth < few] for x in (row, col, value))
+                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(row)), ids.take(pa.array(col)), pa.array(value)], names=["query_id", "id", "sim"])
+
+    return work
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, places: int = 6) -> DataFrame:
     """The k most similar ids of each query: query_id, id, sim, rank from 0; ties by id.
 
-    Similarities are rounded before they are compared. The rank limit is applied in each task
-    before rows are shuffled by query.
+    Similarities are rounded before they are compared. Vectors go in blocks, and a pair of blocks is one
+    matrix product of which k rows a query are left, so no pair of vectors is ever a row. Query
+    blocks are broadcast, in passes of ``QUERY_BYTES`` at most; the corpus is never shuffled. Rows
+    without a vector match nothing; all vectors must have one length.
     """
+    blocks = _packed(corpus, "id", CORPUS_BLOCK)
+    out = None
+    for mine in _passes(queries):
+        held = _packed(mine, "query_id", QUERY_BLOCK).withColumnsRenamed({"ids": "q_ids", "matrix": "q_matrix"})
+        kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {corpus.schema['id'].dataType.simpleString()}, sim double"
+        found = blocks.crossJoin(F.broadcast(held)).mapInArrow(_best(k, places), kinds)
+        out = found if out is None else out.unionByName(found)
     w = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "id")
-    ranked = scores(queries, corpus).withColumn("sim", F.round("sim", places)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.withColumn("rank", F.col("rank") - 1)
 
 
+def random_draws(queries: DataFrame, corpus: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """``k`` different rows of the corpus for each query, all of them equally likely: the query's columns and the row's.
+
+    ``queries``: query_id and more, a stated set; ``corpus``: id and more. The corpus is put in an order by
+    hash of which no more than the queries need is kept, and each query takes the next ``k`` rows,
+    from the first again once all are used. Of fewer than ``k`` rows each query gets all.
+    """
+    n = queries.count()
+    order = F.md5(F.concat_ws("|", F.col("id").cast("string"), F.lit(seed)))
+    few = corpus.orderBy(order, "id").limit(n * k)
+    drawn = few.withColumn("nth", F.row_number().over(Window.orderBy(order, "id")) - 1)
+    m = F.lit(few.count())
+    asked = queries.withColumn("i", F.row_number().over(Window.orderBy("query_id")) - 1).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where(F.col("j") < m)
+    return asked.withColumn("nth", (F.col("i").cast("long") * k + F.col("j")) % m).join(drawn, "nth").drop("nth", "i", "j")
+
+
 def rrf(rank: Column, k: int = 10) -> Column:
     return F.coalesce(1 / (rank + F.lit(float(k + 1))), F.lit(0.0))
 
@@ -109,10 +190,3 @@ def hit_report(first: DataFrame) -> DataFrame:
     """hit@5, hit@10, hit@20 and MRR@20 over queries."""
     hit = lambda k: F.round(F.avg(F.coalesce((F.col("first_rank") < k).cast("int"), F.lit(0))), 4).alias(f"hit_{k}")
     return first.agg(F.count("*").alias("n"), hit(5), hit(10), hit(20), F.round(F.avg(F.when(F.col("first_rank") < 20, 1 / (F.col("first_rank") + 1)).otherwise(0.0)), 4).alias("mrr_20"))
-
-
-def answer_in_text(answer_tokens: Column, answer: Column, text: Column, text_tokens: Column, least: float = 0.6) -> Column:
-    """1 if the text contains the answer, an empty one too; else the share of the answer's tokens
-    found, if there are two tokens at least and the share reaches ``least``; else 0."""
-    share = F.size(F.array_intersect(answer_tokens, text_tokens)) / F.size(answer_tokens)
-    return F.when(F.contains(F.lower(text), F.lower(answer)), 1.0).when((F.size(answer_tokens) >= 2) & (share >= least), share).otherwise(0.0)

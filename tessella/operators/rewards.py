@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
+from tessella.functions.vectors import dot
+from tessella.operators.tool_calls import calls, trace_queries
 
 # How a final answer names a letter in running text.
 FINAL_LETTER = r"(?i)(?:answer\s+is|therefore|correct\s+(?:answer|option)[:\s]*)\s*(?:\*\*)?([A-E])\b"
@@ -59,6 +63,42 @@ def grounded(thoughts: Column, results: Column) -> Column:
     return (shared >= 3) & (F.try_divide(shared, F.least(F.size(a), F.lit(15))) >= 0.2)
 
 
+#: Characters of a tool's answer that are compared.
+ANSWER_CHARS = 512
+
+# The weights of format, answer and tool rewards, by way of training.
+WEIGHTS = {"grpo": [0.25, 0.50, 0.25], "gdpo": [0.20, 0.50, 0.30], "a100": [0.15, 0.70, 0.15]}
+
+
+def tool_signals(messages: DataFrame, questions: DataFrame, encode: Callable[[DataFrame], DataFrame], key: str = "conv_id") -> DataFrame:
+    """The key, n_calls, query_sim, retrieval_sim and grounded of each trace: what ``tool_quality`` takes.
+
+    ``messages``: key, seq, role, content and tool_calls; ``questions``: key, question, answer, either may
+    be empty or missing. ``encode`` gets a table of different texts and returns text and vector, of unit
+    length. query_sim is the best of the question with a query, retrieval_sim the best of the
+    question and answer with the beginning of a tool's answer; null where a side is missing. grounded
+    says whether the thoughts after the first tool message use what the tool messages say.
+    """
+    m = messages.join(questions.select(key, "question", "answer"), key, "left")
+    w = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    tool = F.col("role") == "tool"
+    text = F.coalesce("content", F.lit(""))
+    marked = messages.select(key, "seq", "role", text.alias("content"), (F.size(calls(F.col("tool_calls"))) > 0).alias("called")).withColumn("after", F.coalesce(F.max(tool).over(w), F.lit(False)))
+    thoughts = F.when((F.col("role") == "assistant") & F.col("after"), F.array_join(T.tags(F.col("content"), "think"), " "))
+    joined = lambda value: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct("seq", value.alias("v"))))), lambda x: x["v"]), " ")
+    one = marked.groupBy(key).agg(F.count_if("called").alias("n_calls"), joined(thoughts).alias("thoughts"), joined(F.when(tool, F.col("content"))).alias("results"))
+    sides = m.groupBy(key).agg(F.first("question").alias("q"), F.first("answer").alias("a")).where("q <> ''")
+    asked = trace_queries(messages, key).select(key, F.lit("query").alias("kind"), F.explode("queries").alias("text"))
+    answered = messages.where(tool).select(key, F.lit("result").alias("kind"), F.substring(text, 1, ANSWER_CHARS).alias("text"))
+    anchors = sides.select(key, F.lit("query").alias("kind"), F.col("q").alias("anchor")).unionByName(sides.where("a <> ''").select(key, F.lit("result").alias("kind"), F.concat("q", F.lit(" The answer is "), "a").alias("anchor")))
+    pairs = asked.unionByName(answered).join(anchors, [key, "kind"])
+    vectors = encode(pairs.select("text").union(pairs.select(F.col("anchor").alias("text"))).distinct())
+    near = pairs.join(vectors.select("text", F.col("vector").alias("v")), "text").join(vectors.select(F.col("text").alias("anchor"), F.col("vector").alias("u")), "anchor")
+    best = near.groupBy(key).agg(*[F.max(F.when(F.col("kind") == kind, dot(F.col("u"), F.col("v")))).alias(name) for kind, name in (("query", "query_sim"), ("result", "retrieval_sim"))])
+    used = F.coalesce(grounded(F.col("thoughts"), F.col("results")), F.lit(False))
+    return one.join(best, key, "left").select(key, "n_calls", "query_sim", "retrieval_sim", used.alias("grounded"))
+
+
 def weighted(rewards: list[Column], weights: list[float]) -> Column:
     total = F.lit(0.0)
     for r, w in zip(rewards, weights, strict=True):

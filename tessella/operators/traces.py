@@ -9,17 +9,20 @@ from tessella.functions import text as T
 from tessella.operators.parsing import trace_letter
 
 
-def summarized(messages: DataFrame, key: str = "conv_id") -> DataFrame:
-    """One row a trace: assistant text, calls, tool messages and texts, in message order.
+def summarized(messages: DataFrame, key: str = "conv_id", called: Column | None = None, call_ok: Column | None = None) -> DataFrame:
+    """One row a trace: assistant text, messages with calls, tool messages and texts, in message order.
 
-    Message texts of a trace meet in one row, as they do in a trace's own record.
+    ``called`` and ``call_ok`` say whether a message has calls and whether they are well formed; without
+    them a message has one call if it has a tool_query, of 2 to 25 words. Message texts of a trace
+    meet in one row, as they do in a trace's own record.
     """
+    called = F.col("tool_query").isNotNull() if called is None else called
+    call_ok = F.when(called, T.word_count(F.col("tool_query")).between(2, 25)) if call_ok is None else call_ok
     by = lambda cond, value: F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct("seq", value.alias("v"))))), lambda x: x["v"])
     assistant, tool = F.col("role") == "assistant", F.col("role") == "tool"
     return messages.groupBy(key).agg(
         F.array_join(by(assistant, F.coalesce("content", F.lit(""))), " ").alias("assistant_text"),
-        F.count_if(F.col("tool_query").isNotNull()).alias("n_calls"), F.count_if(tool).alias("n_responses"),
-        F.min(F.when(F.col("tool_query").isNotNull(), T.word_count(F.col("tool_query")).between(2, 25))).alias("calls_ok"),
+        F.count_if(called).alias("n_calls"), F.count_if(tool).alias("n_responses"), F.min(call_ok).alias("calls_ok"),
         F.array_join(by(tool, F.coalesce("content", F.lit(""))), " ").alias("tool_text"),
         F.count("*").alias("n_messages"), F.sum(F.length(F.coalesce("content", F.lit("")))).alias("n_chars"),
     )

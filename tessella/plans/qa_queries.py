@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
-from tessella.operators import matching, parsing, profile, prompts, sampling
+from tessella.operators import fuzzy, matching, parsing, profile, prompts, sampling
 
 from .fixtures import ITEMS, items, table
 from .registry import query
@@ -223,14 +223,14 @@ def j6_exact_terms(spark, sf_dir):
 
 @query()
 def j7_fuzzy_terms(spark, sf_dir):
-    """Misspelt supplier names against supplier names by edit ratio from 85."""
+    """Misspelt supplier names against supplier names by the weighted ratio from 85."""
     terms = table(spark, sf_dir, "supplier").select(F.concat(F.substring("s_name", 1, 4), F.lit("x"), F.expr("substring(s_name, 6)")).alias("term"))
-    return matching.nearest(terms, table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name")))
+    return fuzzy.best_matches(terms, table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name")))
 
 
-@query("select b.item_id as id, p.p_brand || ' ' || p.p_size as name from (select item_id, 'the brand#2' || item_id % 5 || ' 1' as answer from benchmark where item_id < 10) b join part p on contains(lower(p.p_brand || ' ' || p.p_size), lower(b.answer)) or (length(p.p_brand || ' ' || p.p_size) >= 6 and contains(lower(b.answer), lower(p.p_brand || ' ' || p.p_size)))")
+@query("select b.item_id as id, p.p_brand || ' ' || p.p_size as name from (select item_id, 'the brand#2' || item_id % 5 || ' 1' as answer from benchmark) b join part p on contains(lower(p.p_brand || ' ' || p.p_size), lower(b.answer)) or (length(p.p_brand || ' ' || p.p_size) >= 6 and contains(lower(b.answer), lower(p.p_brand || ' ' || p.p_size)))")
 def j8_two_way_substring(spark, sf_dir):
-    answers = table(spark, sf_dir, "benchmark").where("item_id < 10").select(F.col("item_id").alias("id"), F.concat(F.lit("the brand#2"), F.col("item_id") % 5, F.lit(" 1")).alias("answer"))
+    answers = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.concat(F.lit("the brand#2"), F.col("item_id") % 5, F.lit(" 1")).alias("answer"))
     return matching.contained(answers, table(spark, sf_dir, "part").select(F.concat("p_brand", F.lit(" "), "p_size").alias("name")))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessella.functions import text as T
 from tessella.operators import profile, rewards, traces
 
-from .fixtures import EXPECTED, TRACES, expected_letter, items, table, trace_messages
+from .fixtures import EXPECTED, ITEMS, TRACES, expected_letter, items, table, trace_messages
 from .registry import query
 
 WC = r"len(list_filter(string_split_regex({}, '\s+'), lambda w: w <> ''))"
@@ -112,16 +112,30 @@ def w6_last_assistant(spark, sf_dir):
     return trace_messages(spark, sf_dir).where("role = 'assistant' and coalesce(content, '') <> ''").groupBy("conv_id").agg(F.max_by("content", "seq").alias("content"))
 
 
-REWARD = SUMMED + r""",
-tt as (select *, case when regexp_matches(assistant_text, '(?s)<answer>(.*?)</answer>') then trim(regexp_extract(assistant_text, '(?s)<answer>(.*?)</answer>', 1), ' ' || chr(10)) end as ans from ga),
+def answer_sql(p: str, gold: str, letter: str) -> str:
+    """The answer reward as SQL."""
+    words = lambda x: f"list_filter(string_split_regex(lower({x}), '\\s+'), lambda w: w <> '')"
+    x, y = words(p), words(gold)
+    common = f"coalesce(list_sum(list_transform(list_distinct({x}), lambda t: least(len(list_filter({x}, lambda w: w = t)), len(list_filter({y}, lambda w: w = t))))), 0)"
+    return f"""case when coalesce({p}, '') = '' then 0.0 when lower({p}) = lower({gold}) then 1.0 when coalesce({letter}, '') <> '' and (upper(regexp_extract({p}, '^\\s*([A-Ea-e])[.\\):\\s]', 1)) = {letter} or upper({p}) = {letter}) then 1.0
+ when coalesce({letter}, '') <> '' and upper(regexp_extract({p}, '{rewards.FINAL_LETTER}', 1)) = {letter} then 0.8 when contains(lower({p}), lower({gold})) then 0.5 else 2.0 * {common} / (len({x}) + len({y})) end"""
+
+
+STRIP = "' ' || chr(10) || chr(9) || chr(13)"
+
+REWARD = SUMMED + rf""",
+la as (select conv_id, trim(arg_max(content, seq), {STRIP}) as last from traces where role = 'assistant' and coalesce(content, '') <> '' group by 1),
+tt as (select ga.*, case when regexp_matches(assistant_text, '(?s)<answer>(.*?)</answer>') then trim(regexp_extract(assistant_text, '(?s)<answer>(.*?)</answer>', 1), {STRIP}) end as ans, last from ga left join la using (conv_id)),
+pd as (select *, coalesce(ans, last) as said, 'option ' || expected as gold from tt),
 rr as (select *, (case when len(thoughts) > 0 then 0.25 else 0 end) + (case when ans is null then 0 when len(list_filter(string_split_regex(ans, '\s+'), lambda w: w <> '')) <= 10 then 0.75 else 0.5 end) as structure,
   case when n_calls > 0 and n_responses > 0 then 0.25 else 0 end as tool_part, case when n_calls = 0 then -0.3 when n_calls <= 2 then 0.4 else 0.0 end as frequency,
-  case when coalesce(ans, '') = '' then 0.0 when upper(ans) = expected then 1.0 else 0.0 end as correct from tt)"""
+  {answer_sql("said", "gold", "expected")} as correct from pd)"""
 
 
 def rewarded(spark, sf_dir):
-    g = gated(spark, sf_dir).withColumn("expected", expected_letter())
-    ans = T.tag(F.col("assistant_text"), "answer")
+    said = trace_messages(spark, sf_dir).where("role = 'assistant' and content <> ''").groupBy("conv_id").agg(F.trim(F.max_by("content", "seq"), F.lit(" \n\t\r")).alias("last"))
+    g = gated(spark, sf_dir).join(said, "conv_id", "left").withColumn("expected", expected_letter())
+    ans = rewards.prediction(F.col("assistant_text"), F.col("last"))
     return g.withColumns({"structure": rewards.structure(F.col("assistant_text")), "form": rewards.form(F.col("assistant_text"), F.col("n_calls"), F.col("n_responses")), "frequency": rewards.tool_frequency(F.col("n_calls")), "correct": rewards.answer(ans, F.concat(F.lit("option "), "expected"), F.col("expected"))})
 
 
@@ -130,6 +144,24 @@ def y1_y4_rewards(spark, sf_dir):
     return rewarded(spark, sf_dir).select("conv_id", "structure", "form", "frequency", "correct")
 
 
+@query(rf"""with {ITEMS}, a as (select *, case when regexp_matches(output, '(?s)<answer>(.*?)</answer>') then trim(regexp_extract(output, '(?s)<answer>(.*?)</answer>', 1), {STRIP}) else trim(output, {STRIP}) end as told,
+  case gold when 'A' then opa when 'B' then opb when 'C' then opc else opd end as answer from items) select item_id, round(cast({answer_sql("told", "answer", "gold")} as double), 6) as reward from a""")
+def y3_answer_branches(spark, sf_dir):
+    """Answers of all forms: in a tag or not, as a letter, in a sentence, as the option's text, near it."""
+    i = items(spark, sf_dir)
+    gold = F.element_at(F.array("opa", "opb", "opc", "opd"), (F.col("item_id") % 4 + 1).cast("int"))
+    said = rewards.prediction(F.col("output"), F.trim("output", F.lit(" \n\t\r")))
+    return i.select("item_id", F.round(rewards.answer(said, gold, F.col("gold")), 6).alias("reward"))
+
+
+@query(f"with {REWARD} " + " union all ".join(f"select conv_id, '{name}' as way, round(cast({a} * (structure + tool_part) + {b} * correct + {c} * frequency as double), 6) as total from rr" for name, (a, b, c) in rewards.WEIGHTS.items()))
+def y8_weightings(spark, sf_dir):
+    """Each trace's total under each weighting."""
+    parts = [F.col(c) for c in ("form", "correct", "frequency")]
+    totals = F.array(*[F.struct(F.lit(name).alias("way"), F.round(rewards.weighted(parts, w), 6).alias("total")) for name, w in rewards.WEIGHTS.items()])
+    return rewarded(spark, sf_dir).select("conv_id", F.explode(totals).alias("t")).select("conv_id", "t.*")
+
+
 @query(f"""with {REWARD}, w as (select conv_id, conv_id % 10 as prompt, cast(0.25 * (structure + tool_part) + 0.5 * correct + 0.25 * frequency as double) as total from rr)
 select conv_id, round(total, 6) as total, round(coalesce((total - avg(total) over (partition by prompt)) / nullif(round(stddev_samp(total) over (partition by prompt), 9), 0), 0), 6) as advantage from w""")
 def a32_weighted_and_normalized(spark, sf_dir):
@@ -152,7 +184,7 @@ def y5_y6_tool_quality(spark, sf_dir):
     return e.select(F.col("vec_id").alias("id"), F.round(rewards.tool_quality(n, q, r, g), 6).alias("reward"), F.round(rewards.tool_quality(n, q, r, g, -0.40), 6).alias("strict"))
 
 
-@query()
+@query(f"""with {ITEMS} select item_id, regexp_replace(question, '["\\\\]', '', 'g') as query from items""")
 def y7_tool_queries(spark, sf_dir):
     """Queries of raw tool_call tags, each once, in the order of first places; bad JSON is left out."""
     said = F.concat(F.lit('<tool_call>{"name":"search","arguments":{"query":"'), F.regexp_replace("question", '["\\\\]', ""), F.lit('"}}</tool_call><tool_call>{bad}</tool_call>'))
@@ -220,13 +252,16 @@ def token_rows(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids"))
 
 
-@query()
+IDS = "ti as (select doc_id, list_transform(range(0, cast(doc_id % 30 + 6 as bigint)), lambda i: cast((doc_id * 7 + i * 11) % 9 as int)) as ids from documents)"
+
+
+@query(f"""with {IDS}, o as (select doc_id, ids, unnest(range(1, len(ids) + 1)) as pos from ti), s as (select doc_id, pos, coalesce(list_min(list_filter(range(pos + 1, len(ids) + 1), lambda j: ids[j] = 2)), len(ids)) as stop from o where ids[pos] = 1)
+select doc_id, coalesce(string_agg(pos || ':' || stop, ',' order by pos), '') as spans from ti left join s using (doc_id) group by 1""")
 def c12_assistant_spans(spark, sf_dir):
     s = token_rows(spark, sf_dir).withColumn("s", traces.assistant_spans(F.col("ids"), [1], 2))
     return s.select("doc_id", F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["start"], x["end"])), ",").alias("spans"))
 
 
-IDS = "ti as (select doc_id, list_transform(range(0, cast(doc_id % 30 + 6 as bigint)), lambda i: cast((doc_id * 7 + i * 11) % 9 as int)) as ids from documents)"
 
 
 @query(f"with {IDS}, l as (select doc_id, list_transform(ids, lambda x, i: case when i - 1 >= 3 and i - 1 < 9 then x else -100 end)[greatest(len(ids) - 19, 1):] as labels, ids from ti) select doc_id, array_to_string(labels, ',') as labels, cast(len(list_filter(labels, lambda x: x <> -100)) as int) as n_trained, array_to_string(list_concat(labels, list_transform(range(greatest(24 - len(labels), 0)), lambda i: -100)), ',') as padded from l")

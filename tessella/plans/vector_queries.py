@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.functions import vectors as V
-from tessella.functions.text import tokens
 from tessella.operators import graph as G
+from tessella.operators import matching
 from tessella.operators import retrieval as R
 
 from .fixtures import table
@@ -19,8 +19,8 @@ def embeddings(spark, sf_dir):
 
 
 def parts(spark, sf_dir):
-    e = embeddings(spark, sf_dir)
     """The queries, every vector whose id is divisible by 100, and the corpus, all others."""
+    e = embeddings(spark, sf_dir)
     return e.where("id % 100 = 0").withColumnRenamed("id", "query_id"), e.where("id % 100 <> 0")
 
 
@@ -84,7 +84,7 @@ def v6_two_stage(spark, sf_dir):
 @query(f"with {NEAREST} select query_id, max(sim) as best from nn group by 1")
 def v7_best_similarity(spark, sf_dir):
     q, c = parts(spark, sf_dir)
-    return R.scores(q, c).groupBy("query_id").agg(F.round(F.max("sim"), 6).alias("best"))
+    return R.nearest(q, c, 1).select("query_id", F.col("sim").alias("best"))
 
 
 @query(f"with {NEAREST} select query_id, id, sim, rank from nr where rank < 10")
@@ -134,13 +134,17 @@ def a23_benchmark_report(spark, sf_dir):
     return recall.crossJoin(intra)  # one row each
 
 
-@query()
+@query("""with q as (select vec_id as query_id, label as want, row_number() over (order by vec_id) - 1 as i from embeddings where vec_id % 100 = 0),
+c as (select vec_id, label, row_number() over (order by md5(vec_id || '|42'), vec_id) - 1 as nth from embeddings where vec_id % 100 <> 0), s as (select * from c where nth < 10 * (select count(*) from q)), m as (select count(*) as m from s)
+select round(avg(hit), 6) as recall_10 from (select query_id, max(case when want = label then 1 else 0 end) as hit from q, m, (select unnest(range(10)) as j) join s on nth = (i * 10 + j) % m where j < m group by 1)""")
 def a24_random_baseline(spark, sf_dir):
-    """The share of queries of which one of ten vectors picked by hash has the label."""
+    """The share of queries of which one of ten vectors drawn from the whole corpus has the label.
+
+    The corpus is shuffled by the hash of its ids, and each query draws the next ten.
+    """
     q, c = parts(spark, sf_dir)
-    slot = F.pmod(F.xxhash64("query_id", "k"), F.lit(1000))
-    picks = q.select("query_id", F.col("label").alias("want"), F.explode(F.sequence(F.lit(1), F.lit(10))).alias("k")).withColumn("id", slot)
-    return picks.join(c.select("id", "label"), "id", "left").groupBy("query_id").agg(F.max((F.col("want") == F.col("label")).cast("int")).alias("hit")).agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall_10"))
+    drawn = R.random_draws(q.select("query_id", F.col("label").alias("want")), c.select("id", "label"), 10)
+    return drawn.groupBy("query_id").agg(F.max((F.col("want") == F.col("label")).cast("int")).alias("hit")).agg(F.round(F.avg("hit"), 6).alias("recall_10"))
 
 
 STOPS = "[" + ", ".join(f"'{w}'" for w in ["a", "an", "and", "are", "as", "at", "be", "by", "does", "for", "from", "how", "in", "is", "of", "on", "or", "the", "to", "what", "which", "with"]) + "]"
@@ -150,15 +154,14 @@ def toks(x: str) -> str:
     return f"list_filter(list_distinct(regexp_extract_all(lower({x}), '[a-z0-9]+')), lambda w: not list_contains({STOPS}, w))"
 
 
-@query(f"""with b as (select item_id, text as answer, {toks("text")} as bt from benchmark where item_id < 10),
-d as (select doc_id, text, {toks("text")} as dt from documents where lang = 'en'),
+@query(f"""with b as (select item_id, text as answer, {toks("text")} as bt from benchmark),
+d as (select doc_id, text, {toks("text")} as dt from documents),
 j as (select item_id, doc_id, case when contains(lower(text), lower(answer)) then 1.0 when len(bt) >= 2 and len(list_intersect(bt, dt)) / len(bt) >= 0.6 then len(list_intersect(bt, dt)) / len(bt) else 0.0 end as score from b, d)
 select item_id, doc_id, round(score, 6) as score from j where score > 0""")
 def j14_answer_in_text(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").where("item_id < 10").select("item_id", F.col("text").alias("answer"), tokens(F.col("text")).alias("bt"))
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text", tokens(F.col("text")).alias("dt"))
-    rows = d.crossJoin(F.broadcast(b)).withColumn("score", R.answer_in_text(F.col("bt"), F.col("answer"), F.col("text"), F.col("dt")))
-    return rows.where("score > 0").select("item_id", "doc_id", F.round("score", 6).alias("score"))
+    """All items against all texts."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("answer"))
+    return matching.answers_in_texts(b, table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("score", F.round("score", 6))
 
 
 def sources(spark, sf_dir):
@@ -166,18 +169,20 @@ def sources(spark, sf_dir):
     h = hedges(spark, sf_dir)
     e = embeddings(spark, sf_dir)
     v = e.select(F.col("id").alias("vec"), "vector")
+    n = F.lit(e.count())
     index = G.entity_hedges(h)
-    names = G.entities(index).select(F.col("name").alias("id"), (F.conv(F.substring(F.md5("name"), 1, 8), 16, 10).cast("long") % 500).alias("vec"))
-    hv = h.select("id", (F.col("hedge_ord") % 500).alias("vec")).join(v, "vec").select("id", "vector")
+    names = G.entities(index).select(F.col("name").alias("id"), (F.conv(F.substring(F.md5("name"), 1, 8), 16, 10).cast("long") % n).alias("vec"))
+    hv = h.select("id", (F.col("hedge_ord") % n).alias("vec")).join(v, "vec").select("id", "vector")
     ev = names.join(v, "vec").select("id", "vector")
-    q = e.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector").join(h.select((F.col("hedge_ord") / 40).cast("long").alias("query_id"), F.col("description").alias("text"), "hedge_ord").where("hedge_ord % 40 = 0").drop("hedge_ord"), "query_id")
+    asked = e.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector", (F.col("id") * 40 % F.lit(h.count())).alias("hedge_ord"))
+    q = asked.join(h.select("hedge_ord", F.col("description").alias("text")), "hedge_ord").select("query_id", "vector", "text")
     return q, h, hv, ev, index
 
 
 RETRIEVE = HYPER + f""",
-ent as (select name, cast(concat('0x', substring(md5(name), 1, 8)) as bigint) % 500 as vec from (select distinct name from ix)),
-qs as (select e.vec_id as query_id, e.embedding as qv, hg.description as text, {toks("hg.description")} as qt from embeddings e join hg on hg.hedge_ord = e.vec_id * 40 where e.vec_id % 100 = 0),
-hs as (select query_id, hg.id, round(list_inner_product(qv::double[], v.embedding::double[]), 6) as sim from hg join embeddings v on v.vec_id = hg.hedge_ord % 500, qs),
+ent as (select name, cast(concat('0x', substring(md5(name), 1, 8)) as bigint) % (select count(*) from embeddings) as vec from (select distinct name from ix)),
+qs as (select e.vec_id as query_id, e.embedding as qv, hg.description as text, {toks("hg.description")} as qt from embeddings e join hg on hg.hedge_ord = e.vec_id * 40 % (select count(*) from hg) where e.vec_id % 100 = 0),
+hs as (select query_id, hg.id, round(list_inner_product(qv::double[], v.embedding::double[]), 6) as sim from hg join embeddings v on v.vec_id = hg.hedge_ord % (select count(*) from embeddings), qs),
 hn as (select query_id, id, sim as he_sim, row_number() over (partition by query_id order by sim desc, id) - 1 as he_rank from hs),
 es as (select query_id, name, round(list_inner_product(qv::double[], v.embedding::double[]), 6) as sim from ent join embeddings v on v.vec_id = ent.vec, qs),
 en as (select query_id, name, sim as ent_sim, row_number() over (partition by query_id order by sim desc, name) - 1 as ent_rank from es)"""
@@ -234,18 +239,20 @@ def j4_entity_expansion(spark, sf_dir):
 
 
 @query(f"""with {RETRIEVE},
-er as (select a.name, h.id, round(list_inner_product(x.embedding::double[], y.embedding::double[]), 6) as sim from (select * from ent order by name limit 20) a join embeddings x on x.vec_id = a.vec, hg h join embeddings y on y.vec_id = h.hedge_ord % 500),
-ek as (select *, row_number() over (partition by name order by sim desc, id) as rank from er)
-select round(avg(hit), 6) as self_recall_5 from (select name, max(case when exists (select 1 from ix where ix.name = ek.name and ix.id = ek.id) then 1 else 0 end) as hit from ek where rank <= 5 group by 1)""")
+vs as (select a.vec_id as x, b.vec_id as y, round({DOT}, 6) as sim from embeddings a, embeddings b),
+er as (select x as vec, h.id, row_number() over (partition by x order by sim desc, h.id) as rank from vs join hg h on h.hedge_ord % (select count(*) from embeddings) = vs.y),
+ek as (select name, id from er join ent using (vec) where rank <= 5)
+select round(avg(hit), 6) as self_recall_5 from (select name, max(case when exists (select 1 from ix where ix.name = ek.name and ix.id = ek.id) then 1 else 0 end) as hit from ek group by 1)""")
 def a20_self_recall(spark, sf_dir):
+    """The share of all entities of which one of the five nearest hyperedges is their own."""
     _, _, hv, ev, index = sources(spark, sf_dir)
-    q = ev.orderBy("id").limit(20).withColumnRenamed("id", "query_id")
+    q = ev.withColumnRenamed("id", "query_id")
     own = index.select(F.col("name").alias("query_id"), "id", F.lit(1).alias("own")).distinct()
     near = R.nearest(q, hv, 5).join(own, ["query_id", "id"], "left")
     return near.groupBy("query_id").agg(F.max(F.coalesce("own", F.lit(0))).alias("hit")).agg(F.round(F.avg("hit"), 6).alias("self_recall_5"))
 
 
-@query(f"""with {RETRIEVE}, c as (select round(list_inner_product(x.embedding::double[], y.embedding::double[]), 6) as sim from hg join ent on ent.name = hg.anchor join embeddings x on x.vec_id = ent.vec join embeddings y on y.vec_id = hg.hedge_ord % 500)
+@query(f"""with {RETRIEVE}, c as (select round(list_inner_product(x.embedding::double[], y.embedding::double[]), 6) as sim from hg join ent on ent.name = hg.anchor join embeddings x on x.vec_id = ent.vec join embeddings y on y.vec_id = hg.hedge_ord % (select count(*) from embeddings))
 select count(*) as n, round(avg(sim), 6) as mean, round(quantile_cont(sim, 0.1), 6) as p10, min(sim) as least from c""")
 def a21_anchor_similarity(spark, sf_dir):
     _, h, hv, ev, _ = sources(spark, sf_dir)

@@ -105,34 +105,6 @@ def test_spans_and_masks(spark, ids):
     assert labels == want[-4:]
 
 
-def test_edit_ratio():
-    def slow(a, b):
-        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
-        return 200 * table[-1][-1] / (len(a) + len(b)) if a or b else 100.0
-
-    import random
-
-    r = random.Random(0)
-    for _ in range(300):
-        a, b = ("".join(r.choices("abcd", k=r.randint(0, 12))) for _ in range(2))
-        assert matching.ratio(a, b) == pytest.approx(slow(a, b))
-
-
-def test_nearest_misses_nothing(spark):
-    import random
-
-    r = random.Random(1)
-    names = ["".join(r.choices("abcdef", k=r.randint(3, 14))) for _ in range(40)]
-    terms = [*names[:5], *["".join(c for c in n if r.random() > 0.1) + "x" * (r.random() < 0.3) for n in names], "zzzz", ""]
-    got = {x["term"]: (x["name"], round(x["score"], 6)) for x in matching.nearest(spark.createDataFrame([(t,) for t in terms], "term string"), spark.createDataFrame([(n,) for n in names], "name string")).collect()}
-    for t in set(terms):
-        best = min(((-matching.ratio(t, n), n) for n in names))
-        assert got.get(t) == ((best[1], round(-best[0], 6)) if -best[0] >= 85 else None)
-
-
 def test_profile(spark):
     df = spark.createDataFrame([("a", v) for v in (1, 2, 3, 4, 100)] + [("b", 7)], "k string, v long")
     s = {x["k"]: x for x in profile.summary(df, "v", ["k"]).collect()}
