@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import tokens
-from tessella.functions.vectors import dot
+from tessella.functions.vectors import dot, max_sim, sparse_dot
 
 #: Vectors of the corpus and of the queries that one matrix product takes.
 CORPUS_BLOCK, QUERY_BLOCK = 4096, 512
@@ -100,6 +100,27 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, places: int = 6) -> D
     return ranked.withColumn("rank", F.col("rank") - 1)
 
 
+def mixed(queries: DataFrame, corpus: DataFrame, k: int = 20, expand: int = 4, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), places: int = 6) -> DataFrame:
+    """The k best of each query by a mix of three scores: query_id, id, score, rank from 0; ties by id.
+
+    Both sides have an id (query_id, id), vector, sparse (a map of weights) and many (an array of vectors, as
+    many as a text has parts). The k * expand nearest by vector are the candidates; of those alone the
+    sparse product and the late interaction are worked out. A side without sparse weights or parts
+    scores 0 there.
+    """
+    near = nearest(queries, corpus, k * expand, places)
+    q = queries.select("query_id", F.col("sparse").alias("q_sparse"), F.col("many").alias("q_many"))
+    both = near.join(F.broadcast(q), "query_id").join(corpus.select("id", "sparse", "many"), "id") if queries.count() <= 10_000 else near.join(q, "query_id").join(corpus.select("id", "sparse", "many"), "id")
+    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    sparse = F.coalesce(sparse_dot(F.col("q_sparse"), F.col("sparse")), F.lit(0.0))
+    late = F.when(some("q_many") & some("many"), max_sim(F.col("q_many"), F.col("many"))).otherwise(0.0)
+    dense, thin, many = weights
+    score = F.round((dense * F.col("sim") + thin * sparse + many * late) / sum(weights), places)
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    ranked = both.select("query_id", "id", score.alias("score")).withColumn("rank", F.row_number().over(w) - 1)
+    return ranked.where(F.col("rank") < k)
+
+
 def random_draws(queries: DataFrame, corpus: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """``k`` different rows of the corpus for each query, all of them equally likely: the query's columns and the row's.
 

@@ -31,3 +31,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def freed(df: DataFrame) -> None:
+    """Deletes the files of a table that ``written`` gave; nothing may read it afterwards."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        where = jvm.org.apache.hadoop.fs.Path(folder)
+        if "/work/" not in folder:
+            raise ValueError(f"{folder} is no table of this session's own")
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
