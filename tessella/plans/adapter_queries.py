@@ -92,7 +92,7 @@ def q4_prompts_by_style(spark, sf_dir):
     return reduce(DataFrame.unionByName, [over_kinds(spark, sf_dir, one(name, style)) for name, style in STYLES.items()])
 
 
-def _again(a) -> str:
+def again(a) -> str:
     from tessella.operators.adapters import AGAIN_FORMAT
 
     return said(a.again + AGAIN_FORMAT.format(choices=a.choices))
@@ -129,7 +129,7 @@ def n4_ten_options(spark, sf_dir):
     return predictions(rows_of(spark, sf_dir, "ten"), ADAPTERS["ten"], STYLES["custom"]).select("item_id", "gold", "pred", "parse_source")
 
 
-@query(f"with {PARSED} select kind, item_id, {by_kind(_again)} || coalesce(again, body) || chr(10) || chr(10) || 'Draft response:' || chr(10) || output as prompt from parsed where first is null")
+@query(f"with {PARSED} select kind, item_id, {by_kind(again)} || coalesce(again, body) || chr(10) || chr(10) || 'Draft response:' || chr(10) || output as prompt from parsed where first is null")
 def q5_fallback_forms(spark, sf_dir):
     """The three prompts that ask again, for the outputs that gave nothing."""
 

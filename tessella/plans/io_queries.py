@@ -9,9 +9,11 @@ from tessella.functions import text as T
 from tessella.operators import graph as G
 from tessella.operators import matching, parsing, prompts, sampling
 from tessella.operators import retrieval as R
+from tessella.operators.adapters import ADAPTERS
 from tessella.sources import readers, sinks
 from tessella.sources.workdir import work_path
 
+from .adapter_queries import again, said
 from .fixtures import ITEMS, KG, TRACES, items, kg_edges, table, trace_messages
 from .graph_queries import FILTERED, HYPER, filtered, hedges
 from .qa_queries import OPTIONS, PARSED, explicit, with_options
@@ -38,7 +40,7 @@ def s3_k2_hypergraph_document(spark, sf_dir):
     h, path = hedges(spark, sf_dir), work_path(spark, "hypergraph")
     index = G.entity_hedges(h)
     sinks.hypergraph_json(h, index, G.entities(index), path)
-    return readers.hypergraph_json(spark, path)[2].select("name", "id")
+    return readers.hypergraph_lines(spark, path)[2].select("name", "id")
 
 
 @query(f"with {ITEMS} select item_id, output from items")
@@ -80,7 +82,7 @@ def s11_k8_vectors(spark, sf_dir):
     return readers.table(spark, path).select("id", F.size("vector").cast("long").alias("n"), F.round(F.col("vector")[0].cast("double"), 6).alias("first"))
 
 
-@query()
+@query("select '{\"n_nations\":' || count(*) || '}' as value from nation")
 def k4_k12_json_report(spark, sf_dir):
     path = work_path(spark, "report")
     sinks.report(table(spark, sf_dir, "nation").agg(F.count("*").alias("n_nations")), path)
@@ -189,14 +191,14 @@ def p8_extras(spark, sf_dir):
     return items(spark, sf_dir).select("item_id", F.to_json(F.struct("opa", "cop")).alias("extras"))
 
 
-@query(f"with {ITEMS} select item_id, concat(question, chr(10), {OPTIONS}, chr(10), 'Answer with one letter (A, B, C, or D):') as prompt from items")
+@query(f"with {ITEMS} select item_id, {said(ADAPTERS['four'].zero_shot_head)} || concat('Question:', chr(10), question, chr(10), chr(10), 'Options:', chr(10), {OPTIONS}, chr(10), chr(10), 'Answer:') as prompt from items")
 def q3_zero_shot(spark, sf_dir):
-    return with_options(spark, sf_dir).select("item_id", F.concat("question", F.lit("\n"), prompts.option_lines(F.col("options")), F.lit("\nAnswer with one letter (A, B, C, or D):")).alias("prompt"))
+    return with_options(spark, sf_dir).select("item_id", ADAPTERS["four"].zero_shot().alias("prompt"))
 
 
-@query(f"with {ITEMS} select item_id, concat('Question:', chr(10), question, chr(10), 'Draft:', chr(10), output, chr(10), 'Letter:') as prompt from items where item_id % 8 = 5")
+@query(f"with {ITEMS} select item_id, {again(ADAPTERS['four'])} || concat('Question:', chr(10), question, chr(10), chr(10), 'Options:', chr(10), {OPTIONS}, chr(10), chr(10), 'Draft response:', chr(10), output) as prompt from items where item_id % 8 = 5")
 def q5_fallback_prompt(spark, sf_dir):
-    return items(spark, sf_dir).where("item_id % 8 = 5").select("item_id", F.concat(F.lit("Question:\n"), "question", F.lit("\nDraft:\n"), "output", F.lit("\nLetter:")).alias("prompt"))
+    return with_options(spark, sf_dir).where("item_id % 8 = 5").select("item_id", ADAPTERS["four"].fallback(F.col("output")).alias("prompt"))
 
 
 @query(f"with {ITEMS} select item_id, 'user' as role, question as content from items union all select item_id, 'assistant', output from items")
@@ -217,16 +219,18 @@ def n5_yes_no_maybe(spark, sf_dir):
     return items(spark, sf_dir).select("item_id", parsing.yes_no_maybe(s)["pred"].alias("pred"))
 
 
-@query()
+@query(f"with {PARSED} select item_id, pred, replace(parse_source, 'answer_section', 'final_section') as parse_source from parsed")
 def n6_unwrapped(spark, sf_dir):
     """The first form of the parser: thoughts are unwrapped before the final section is looked for."""
     rows = items(spark, sf_dir).withColumn("options", F.create_map(*[x for k in "abcd" for x in (F.lit(k.upper()), F.col(f"op{k}"))]))
     return rows.select("item_id", parsing.mcq_unwrapped(F.concat(F.lit("<think>"), F.col("output"), F.lit("</think>")), F.col("options")).alias("p")).select("item_id", "p.*")
 
 
-@query("select i as rank, round(1.0::double / (i + 11), 9) as score from range(0, 20) t(i)")
+@query("select vec_id as id, cast(nth as int) as rank, round(1.0::double / (nth + 11), 9) as score from (select vec_id, row_number() over (partition by label order by vec_id) - 1 as nth from embeddings)")
 def r3_rrf(spark, sf_dir):
-    return spark.range(20).select(F.col("id").alias("rank"), F.round(R.rrf(F.col("id")), 9).alias("score"))
+    """Reciprocal ranks of the vectors in their labels."""
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("id")) - 1
+    return embeddings(spark, sf_dir).select("id", nth.alias("rank")).withColumn("score", F.round(R.rrf(F.col("rank")), 9))
 
 
 @query("select item_id as idx, text as question from benchmark order by md5(concat(item_id, '|42')), item_id limit 10")

@@ -7,17 +7,18 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.operators import evaluation, matching, token_counts, traces
+from tessella.operators import build, evaluation, matching, token_counts, traces
+from tessella.operators import graph as G
 from tessella.operators import retrieval as R
 from tessella.operators.sampling import sample
 from tessella.serving import Searcher
 from tessella.sources import readers, sinks
 from tessella.sources.workdir import work_path
 
-from .fixtures import ITEMS, TRACES, items, table, trace_messages
-from .graph_queries import hedges
-from .registry import SQL, query
-from .tool_queries import hashed_vectors
+from .fixtures import ITEMS, TRACES, items, kg_edges, table, trace_messages
+from .graph_queries import HYPER, hedges
+from .registry import QUERIES, SQL, query
+from .tool_queries import SIGNALS, hashed_vectors, signals
 from .vector_queries import FUSED, NEAREST, RETRIEVE, embeddings, parts, sources, toks
 
 
@@ -173,3 +174,61 @@ def c6_training_union(spark, sf_dir):
     splits = traces.prefix_splits(m).select("conv_id", "augment_type").distinct()
     none = sample(s.where("n_calls = 0"), "conv_id", 600).select("conv_id", F.lit("no_tool").alias("augment_type"))
     return with_calls.withColumn("augment_type", F.lit("original")).unionByName(splits).unionByName(verbose).unionByName(none)
+
+
+@query(f"with {HYPER}" + """, n as (select (select count(*) from filtered) as filtered, (select count(*) from hg) as hyperedges, (select count(*) from ix) as entity_hedges, (select count(distinct name) from ix) as entities)
+select 'filtered' as step, filtered as n from n union all select 'priority', 0 from n union all select 'hyperedges', hyperedges from n union all select 'entity_hedges', entity_hedges from n union all select 'entities', entities from n
+union all select 'hedge_vectors', hyperedges from n union all select 'entity_vectors', entities from n""")
+def g15_build(spark, sf_dir):
+    """All steps with their files and vectors; the benchmark's phrases name no entity of this graph."""
+    steps = build.build(kg_edges(spark, sf_dir), work_path(spark, "graph"), hashed_vectors(spark, sf_dir), table(spark, sf_dir, "benchmark").select("text"))
+    return steps.select("step", "n")
+
+
+@query(f"""with rep as ({SQL["g11_intrinsic_report"]}), em as (select (select mean from ({SQL["a21_anchor_similarity"]})) as anchor_mean, (select self_recall_5 from ({SQL["a20_self_recall"]})) as self_recall_5, (select most from ({SQL["a22_top_similarity"]})) as negative_max),
+ck as (select 'no orphan entities' as "check", true as passed union all select 'no placeholder leaks', placeholder_leaks = 0 from rep union all select 'no empty descriptions', empty_descriptions = 0 from rep union all select 'few duplicates', duplicate_share < 0.001 from rep
+  union all select 'anchors near descriptions', anchor_mean >= 0.75 from em union all select 'entities find themselves', self_recall_5 >= 0.75 from em union all select 'others far', negative_max < 0.72 from em
+  union all select benchmark || ' relevance', semantic_relevance >= target from ({SQL["g13_extrinsic"]}))
+select *, (select count(*) from ck) as total, (select count(*) from ck where passed) as n_passed, (select count(*) from ck where not passed) as n_failed from ck""")
+def g14_summary(spark, sf_dir):
+    """Every check of the graph, its embedding and the question sets, with totals."""
+    h = hedges(spark, sf_dir)
+    index = G.entity_hedges(h)
+    orphans = G.entities(index).join(index.select("name").distinct(), "name", "left_anti").agg(F.count("*").alias("orphans"))
+    one = lambda name, column, to: QUERIES[name](spark, sf_dir).select(F.col(column).alias(to))
+    embedding = one("a21_anchor_similarity", "mean", "anchor_mean").crossJoin(one("a20_self_recall", "self_recall_5", "self_recall_5")).crossJoin(one("a22_top_similarity", "most", "negative_max"))
+    return build.summary(G.intrinsic_report(h), orphans, embedding, g13_extrinsic(spark, sf_dir))
+
+
+@query(f"""with {HYPER}, d as (select name, count(distinct id) as n from ix group by 1)
+select count(*) as n_entities, round(avg(n), 6) as mean, cast(min(n) as bigint) as least, round(quantile_cont(n, 0.05), 6) as p5, round(quantile_cont(n, 0.5), 6) as median, round(quantile_cont(n, 0.95), 6) as p95, cast(max(n) as bigint) as most from d""")
+def a9_hedges_per_entity(spark, sf_dir):
+    d = G.entity_hedges(hedges(spark, sf_dir)).select("name", "id").distinct().groupBy("name").agg(F.count("*").alias("n"))
+    p = lambda x: F.round(F.percentile("n", x), 6)
+    return d.agg(F.count("*").alias("n_entities"), F.round(F.avg("n"), 6).alias("mean"), F.min("n").alias("least"), p(0.05).alias("p5"), p(0.5).alias("median"), p(0.95).alias("p95"), F.max("n").alias("most"))
+
+
+@query(f"with {SIGNALS} select conv_id % 3 as part, count(retrieval_sim) as n, round(quantile_cont(retrieval_sim, 0.25), 6) as p25, round(quantile_cont(retrieval_sim, 0.5), 6) as p50, round(quantile_cont(retrieval_sim, 0.75), 6) as p75 from sg group by 1")
+def a14b_retrieval_quartiles(spark, sf_dir):
+    p = lambda x: F.round(F.percentile("retrieval_sim", x), 6)
+    return signals(spark, sf_dir).groupBy((F.col("conv_id") % 3).alias("part")).agg(F.count("retrieval_sim").alias("n"), p(0.25).alias("p25"), p(0.5).alias("p50"), p(0.75).alias("p75"))
+
+
+@query("select 'NATION_' || n_nationkey as key, n_name as value from nation")
+def s13_settings(spark, sf_dir):
+    """A settings file: comments, quotes, and names that come again don't count."""
+    path = work_path(spark, "settings")
+    n = table(spark, sf_dir, "nation")
+    name = F.concat(F.lit("NATION_"), "n_nationkey")
+    lines = n.select(F.explode(F.array(F.lit("# comment"), F.concat(name, F.lit(' = "'), "n_name", F.lit('"')), F.concat(name, F.lit("=again")), F.lit(""))).alias("value"))
+    lines.coalesce(1).write.text(path)  # a settings file is one file
+    return readers.settings(spark, readers.newest(spark, f"{path}/part-*"))
+
+
+@query(f"with {HYPER} select 'hyperedges' as kept, count(*) as n from hg union all select 'entity_hedges', count(*) from ix union all select 'entities', count(distinct name) from ix")
+def k6_graph_tables(spark, sf_dir):
+    """The graph as tables, written and read back."""
+    h, path = hedges(spark, sf_dir), work_path(spark, "tables")
+    index = G.entity_hedges(h)
+    sinks.hypergraph(h, index, G.entities(index), path)
+    return reduce(DataFrame.unionByName, [readers.table(spark, f"{path}/{name}").agg(F.count("*").alias("n")).select(F.lit(name).alias("kept"), "n") for name in ("hyperedges", "entity_hedges", "entities")])

@@ -43,12 +43,34 @@ def test_hypergraph_files(spark, edges, tmp_path):
     h = G.hypergraph(G.filter_graph(edges))
     index = G.entity_hedges(h)
     sinks.hypergraph_json(h, index, G.entities(index), f"{tmp_path}/doc")
-    e, hedges, inverted = readers.hypergraph_json(spark, f"{tmp_path}/doc")
-    assert hedges.count() == h.count() and inverted.count() == index.count() and e.count() == G.entities(index).count()
+    e, hedges, inverted = readers.hypergraph_lines(spark, f"{tmp_path}/doc")
+    assert sorted(map(tuple, hedges.collect())) == sorted(map(tuple, h.select(*hedges.columns).collect()))
+    assert sorted((r["name"], r["id"]) for r in inverted.collect()) == sorted((r["name"], r["id"]) for r in index.collect())
+    assert sorted((r["name"], r["type"]) for r in e.collect()) == sorted((r["name"], r["type"]) for r in G.entities(index).collect())
+    # The files end to end are the document, in order.
+    doc = json.loads("".join(p.read_text() for p in sorted(Path(f"{tmp_path}/doc").glob("part-*"))))
+    assert [x["id"] for x in doc["hyperedges"]] == [r["id"] for r in h.orderBy("hedge_ord").collect()] and list(doc["entities"]) == sorted(doc["entities"]) and set(doc["entity_to_hedges"]) == set(doc["entities"])
+    (tmp_path / "whole.json").write_text(json.dumps(doc))
+    assert readers.hypergraph_json(spark, f"{tmp_path}/whole.json")[2].count() == index.count()
     sinks.hypergraph(h, index, G.entities(index), f"{tmp_path}/tables")
     assert readers.table(spark, f"{tmp_path}/tables/hyperedges").count() == h.count()
 
 
+def test_hypergraph_documents_with_odd_names_and_without_rows(spark, tmp_path):
+    rows = [("he_1", 1, 'a "quoted" \\ {x}:[1]\nline', ['n"1":{', "n2"], "t", None, "n2"), ("he_0", 0, ",comma", ['n"1":{', 'x":['], "t", "r", "a")]
+    h = spark.createDataFrame(rows, "id string, hedge_ord long, description string, entities array<string>, type string, relation string, anchor string")
+    index = h.select("id", "hedge_ord", F.posexplode("entities").alias("pos", "name"))
+    e = index.select("name").distinct().withColumn("type", F.lit("k"))
+    for n, part in enumerate((h, h.limit(0))):
+        own = index if n == 0 else index.limit(0)
+        sinks.hypergraph_json(part, own, e if n == 0 else e.limit(0), f"{tmp_path}/{n}")
+        doc = json.loads("".join(p.read_text() for p in sorted(Path(f"{tmp_path}/{n}").glob("part-*"))))
+        got = readers.hypergraph_lines(spark, f"{tmp_path}/{n}")
+        assert [f.count() for f in got] == ([3, 2, 4] if n == 0 else [0, 0, 0]) and len(doc["hyperedges"]) == got[1].count()
+        assert sorted(map(str, got[1].collect())) == sorted(map(str, part.select(*got[1].columns).collect()))
+    assert doc == {"entities": {}, "hyperedges": [], "entity_to_hedges": {}}
+
+
 def test_csv_and_tables(spark, edges, tmp_path):
     sinks.csv(edges, f"{tmp_path}/e.csv")
     assert sorted(readers.edges_csv(spark, f"{tmp_path}/e.csv").collect()) == sorted(edges.collect())
