@@ -271,6 +271,14 @@ def c13_c14_masked_labels(spark, sf_dir):
     return r.select("doc_id", F.array_join("l", ",").alias("labels"), traces.trainable(F.col("l")).alias("n_trained"), F.array_join(traces.padded(F.col("l"), F.lit(24), -100), ",").alias("padded"))
 
 
+@query(f"with {IDS}, l as (select doc_id, list_transform(ids, lambda x, i: case when i - 1 >= 3 and i - 1 < 9 then x else -100 end)[greatest(len(ids) - 19, 1):] as labels from ti) select doc_id, cast(len(labels) as int) as n, cast(len(list_filter(labels, lambda x: x <> -100)) as int) as n_trained from l where len(list_filter(labels, lambda x: x <> -100)) > 0")
+def f7_trainable_rows(spark, sf_dir):
+    """Rows that have a label left after the mask; of long ones the span is cut away, and they go."""
+    span = F.array(F.struct(F.lit(3).alias("start"), F.lit(9).alias("end")))
+    r = token_rows(spark, sf_dir).withColumn("l", traces.masked_labels(F.col("ids"), span, 20))
+    return r.where(traces.trainable(F.col("l")) > 0).select("doc_id", F.size("l").alias("n"), traces.trainable(F.col("l")).alias("n_trained"))
+
+
 @query(f"with {IDS}, l as (select ids, list_transform(ids, lambda x: case when x < 4 then -100 else x end) as labels from ti), t as (select cast(sum(len(ids)) as bigint) as tokens, cast(sum(len(list_filter(labels, lambda x: x <> -100))) as bigint) as trained from l) select tokens, trained, round(trained / tokens, 6) as share from t")
 def a28_token_totals(spark, sf_dir):
     r = token_rows(spark, sf_dir).withColumn("l", F.transform("ids", lambda x: F.when(x < 4, -100).otherwise(x)))

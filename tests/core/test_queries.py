@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 ROOT = Path(__file__).resolve().parents[2]
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: One of each kind; the driver compares all of them.
-CHECKED = ["g1_filter_graph", "a1_neighbor_hyperedges", "a3_composite_hyperedges", "t5_priority_paths", "g6_verbalize_neighbors", "j13_nearest", "a19_hit_report", "n3_parse_header", "n9_n10_tag_letters", "c1_gates", "a14b_tool_report", "c4_prefix_splits", "y1_y4_rewards", "a10_length_summary", "a16_histogram", "t10_assigned_types", "w9_event_rate", "s1_k5_csv_edges", "s6_jsonl_keys"]
+CHECKED = ["g1_filter_graph", "a1_neighbor_hyperedges", "a3_composite_hyperedges", "t5_priority_paths", "g6_verbalize_neighbors", "j13_nearest", "a19_hit_report", "n3_parse_header", "n9_n10_tag_letters", "c1_gates", "a14b_tool_report", "c4_prefix_splits", "y1_y4_rewards", "a10_length_summary", "a16_histogram", "t10_assigned_types", "w9_event_rate", "s1_k5_csv_edges", "s6_jsonl_keys", "x14_call_arguments", "c1_raw_gates", "c3_raw_messages", "c16_tool_loop", "y7_trace_queries", "y3_answer_branches", "p12_predictions", "n11_run_summary", "v6_three_scores", "k10_search", "j14_answer_in_text", "r9_over_models", "s8_saved_folder"]
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="needs the synthetic tables")
 
