@@ -31,7 +31,7 @@ TOP = 2_000
 UNKNOWN = "und"
 
 #: Bytes of suffixes that one task sorts, about; and that one task counts before it hands them on.
-TASK_BYTES, BLOCK_BYTES = 64 << 20, 24 << 20
+TASK_BYTES, BLOCK_BYTES = 40 << 20, 16 << 20
 #: Suffixes of the sample that the bounds are made from, and documents it is drawn from, about.
 SAMPLE, SAMPLE_DOCS = 50_000, 4_000
 #: Words whose suffixes are built at once.
