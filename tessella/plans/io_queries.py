@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.operators import graph as G
-from tessella.operators import matching, parsing, prompts, sampling
+from tessella.operators import matching, parsing, sampling
 from tessella.operators import retrieval as R
 from tessella.operators.adapters import ADAPTERS
 from tessella.sources import readers, sinks

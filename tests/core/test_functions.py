@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.functions import vectors as V
-from tessella.operators import matching, parsing, profile, rewards, traces
+from tessella.operators import parsing, profile, rewards, traces
 
 
 def one(spark, column, **values):
