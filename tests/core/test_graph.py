@@ -3,6 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.operators import graph
+from tessella.plans import fixtures
 
 
 def test_dense_ordinal_numbers_each_row_once(spark):
@@ -25,3 +26,34 @@ def test_priority_paths_fill_the_limit_first(spark):
     few = graph.cap_paths(paths, 2, names).collect()
     assert sorted(r["e0"] for r in few) == ["a03", "a08", "a21", "x"]
     assert len(graph.cap_paths(paths, 5).collect()) == 6
+
+
+def test_paths_through_one_entity_are_dealt_to_several_tasks(spark):
+    a = spark.range(300).selectExpr("'r1' as relation", "id as x_index", "'t' as x_type", "concat('a', id) as x_name", "7L as y_index", "'t' as y_type", "'hub' as y_name")
+    b = spark.range(200).selectExpr("'r2' as relation", "7L as x_index", "'t' as x_type", "'hub' as x_name", "1000 + id as y_index", "'t' as y_type", "concat('c', id) as y_name")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        paths = graph.two_hop_paths(a.unionByName(b), [("p", "t", "r1", "t", "r2", "t")], piece=1000)
+        assert paths.count() == 60_000 == paths.select("e0", "e2").distinct().count()
+        assert paths.select(F.spark_partition_id().alias("task")).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = sorted((r["k"], r["i0"], r["i2"]) for r in paths.select(F.md5(F.concat_ws("|", "e0", "e1", "e2")).alias("k"), "i0", "i2").collect())[:50]
+    got = graph.cap_paths(paths, 50).select("i0", "i2").collect()
+    assert sorted((r["i0"], r["i2"]) for r in got) == sorted(w[1:] for w in want)
+
+
+def test_pairs_share_a_target_of_few_or_many_sources(spark):
+    edges = [("via", s, t) for s, t in [(1, 50), (2, 50), (3, 50), (4, 50), (5, 51), (6, 51), (7, 52)]]
+    edges += [("pair", x, y) for x, y in [(1, 2), (2, 1), (4, 3), (5, 6), (6, 7), (1, 5), (7, 7), (8, 8)]]
+    df = spark.createDataFrame(edges, "relation string, x_index long, y_index long")
+    for light in (0, 2, 100):
+        got = sorted(r[1:] for r in graph.shared_target_pairs(df, "pair", "via", light).collect())
+        assert got == [(1, 2), (2, 1), (4, 3), (5, 6), (7, 7)]
+
+
+def test_edges_of_one_relation_read_only_their_tables(spark):
+    got = fixtures.kg_edges(spark, "/root/testdata/sf0.001", "indication")
+    assert {f.rpartition("/")[2] for f in got.inputFiles()} == {"lineitem.parquet"}
+    every = fixtures.kg_edges(spark, "/root/testdata/sf0.001").where("relation = 'indication'")
+    assert sorted(got.collect()) == sorted(every.collect())
