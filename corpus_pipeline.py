@@ -34,7 +34,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts of five-word similarity 0.8 the document with the smallest id stays.
 
-    Operator 10's four bits of a fingerprint find only nearly equal texts, so this has keys of its own.
+    Operator 10's groups are confirmed by that similarity. Its four bits of a fingerprint find only nearly
+    equal texts, so MinHash keys bring the others together.
     Rows that repeat an id are one document; those without one stay if no other is in their group.
     Texts without words, null ones too, are copies of each other. An empty table stays empty.
     """

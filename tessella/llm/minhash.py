@@ -1,7 +1,7 @@
 """Near copies by MinHash bands and an exact check.
 
 ``keys`` reads every text once: of 100 hash functions over a text's shingles the least values, five
-to a band, as one key a band. Texts that share a key are joined with three of its texts: two whose order
+to a band, as one key a band, and its fingerprint of operator 10, whose groups (linked over BK-trees) are one more key. Texts that share a key are joined with three of its texts: two whose order
 differs from band to band, and the one that meets most others; of those pairs the Jaccard similarity of their shingles is computed.
 That connects most copies. In the keys whose texts are not one component yet, each text outside the
 main component is then held against all texts of other components by its shingles, in pairs of
@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, Words, mixed, staged
-from .simhash import _LOWER, components
+from .common import Texts, Words, mixed, slim, staged
+from .simhash import _LOWER, components, linked, simhash_texts
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Of texts of similarity 0.8, 0.9996 share a key.
@@ -138,6 +138,7 @@ def _forest(similar: float):
         return out
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slim()
         held: list[tuple] = []
         last = None
 
@@ -175,13 +176,18 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, shingle: int = SHINGL
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("t", F.xxhash64("text"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slim()
         for batch in batches:
             flat = pa.array(keys(batch.column(2), shingle).ravel())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS), flat)], names=["doc_id", "t", "keys"])
-
-    prints = staged(rows.select("doc_id", "t", "text").mapInArrow(read, "doc_id long, t long, keys array<long>"), "keys")
-    first = staged(prints.groupBy("t").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")), "texts")
-    dealt = first.select("t", F.posexplode("keys").alias("band", "key"))
+            fp = pa.array(simhash_texts(batch.column(2)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS), flat), fp], names=["doc_id", "t", "keys", "fp"])
+
+    prints = staged(rows.select("doc_id", "t", "text").mapInArrow(read, "doc_id long, t long, keys array<long>, fp long"), "keys")
+    first = staged(prints.groupBy("t").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"), F.first("fp").alias("fp")), "texts")
+    # A group of operator 10 is a key like any other, so what its fingerprints link is compared, or connected already.
+    groups = components(linked(first.select("fp").distinct())).withColumnRenamed("node", "fp")
+    grouped = first.select("t", "fp").join(groups, "fp", "left").select("t", F.lit(BANDS).alias("band"), F.coalesce("root", "fp").alias("key"))
+    dealt = first.select("t", F.posexplode("keys").alias("band", "key")).unionByName(grouped)
     at = F.struct(F.xxhash64("t", "band").alias("o"), "t")
     # Staged, so that both sides of the join are dealt for it and a hot key can be split.
     ends = staged(dealt.groupBy("band", "key").agg(F.min(at).alias("low"), F.max(at).alias("high"), F.count("*").alias("n")).where("low.t <> high.t").select("band", "key", F.col("low.t").alias("low"), F.col("high.t").alias("high"), "n"), "ends")
@@ -193,6 +199,7 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, shingle: int = SHINGL
     pairs = staged(met.select(F.least("t", "u").alias("a"), F.greatest("t", "u").alias("b")).distinct(), "pairs")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slim()
         for batch in batches:
             for low, bounds, grams in shingles(batch.column(1), shingle):
                 sets = [np.unique(grams[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, staged
+from .common import free, slim, staged
 
 KINDS = ("email", "ip", "card", "phone")
 #: The kinds that contexts can add: those, and keys.
@@ -164,6 +164,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slim()
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 40

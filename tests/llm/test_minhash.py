@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
+from test_simhash import slow_print
 
 from tessella.llm import minhash
 
@@ -76,3 +78,18 @@ def test_cases(spark):
     assert got.columns == ["doc_id", "component_id"]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(zip([d for d, *_ in rows], want, strict=True), key=str)
     assert minhash.near_copies(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_groups_of_fingerprints_are_compared(spark, monkeypatch):
+    """Similar texts whose fingerprints link go together even if no MinHash key is shared; unlike ones that link don't."""
+    monkeypatch.setattr(minhash, "keys", lambda column, shingle: np.random.default_rng().integers(0, 1 << 62, (len(column), 20)))
+    r = random.Random(4)
+    rows = []
+    for i in range(0, 60, 2):
+        words = ["".join(r.choices("abcdefghij", k=6)) for _ in range(400)]
+        rows += [(i, " ".join(words), "x", 1), (i + 1, " ".join([*words[:-1], "other"]), "x", 1)]
+        assert (slow_print(rows[-1][1]) ^ slow_print(rows[-2][1])).bit_count() <= 4
+    # All shingles of four words are equal, and so are the fingerprints, but none of five.
+    rows += [(100, "a a a a", "x", 1), (101, "a a a a a a", "x", 1)]
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_copies(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    assert got == {i: i - i % 2 for i in range(60)} | {100: 100, 101: 101}
