@@ -12,6 +12,8 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import compress, filterfalse
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,12 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, nth long"
 
 
+def _low(stem: str) -> str:
+    """A stem of other letters in lower case; empty if that depends on what follows."""
+    low = unicodedata.normalize("NFC", stem).lower()
+    return low if "Σ" not in stem else ""
+
+
 class WordEncoder:
     """Encodes texts word by word, and remembers words.
 
@@ -64,23 +72,24 @@ class WordEncoder:
         return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def learn(self, words: set[str]) -> None:
-        plain, stem_of = [], {}
+        by_tail: dict[str, list[str]] = {"": [], ",": [], ".": []}
+        plain = []
         for word in words:
-            stem, tail = (word[:-1], word[-1]) if word[-1] in ",." else (word, "")
-            low = stem if stem.isascii() else unicodedata.normalize("NFC", stem)
-            low = low.lower() if "Σ" not in low else ""  # its lower case depends on what follows
-            if low.isalpha():
-                stem_of[word] = (low, tail)
-            else:
-                plain.append(word)
-        self.known.update(zip(plain, self.encode(plain), strict=True))
+            by_tail[word[-1] if word[-1] in ",." else ""].append(word)
         stems = self.stems
-        new = list({s for s, _ in stem_of.values() if s not in stems})
-        for at in range(0, len(new), TOGETHER):
-            some = new[at : at + TOGETHER]
-            stems.update(zip(some, self.encode_stems(some), strict=True))
         tails = dict(zip(",.", self.encode([",", "."]), strict=True)) | {"": b""}
-        self.known.update((word, stems[stem] + tails[tail]) for word, (stem, tail) in stem_of.items())
+        for tail, some in by_tail.items():
+            lows = [x.lower() if x.isascii() else _low(x) for x in (some if not tail else [word[:-1] for word in some])]
+            letters = list(map(str.isalpha, lows))
+            plain += compress(some, map(not_, letters))
+            some, lows = list(compress(some, letters)), list(compress(lows, letters))
+            new = list(set(filterfalse(stems.__contains__, lows)))
+            for at in range(0, len(new), TOGETHER):
+                part = new[at : at + TOGETHER]
+                stems.update(zip(part, self.encode_stems(part), strict=True))
+            ids = map(stems.__getitem__, lows)
+            self.known.update(zip(some, [x + tails[tail] for x in ids] if tail else ids, strict=True))
+        self.known.update(zip(plain, self.encode(plain), strict=True))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -93,7 +102,7 @@ class WordEncoder:
         known = self.known
         fresh: set[str] = set()
         for words in split:
-            fresh.update(w for w in words if w not in known)
+            fresh.update(filterfalse(known.__contains__, words))
         if fresh:
             self.learn(fresh)
         look = known.__getitem__
