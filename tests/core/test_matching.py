@@ -156,3 +156,22 @@ def test_nearest_by_blocks(spark, monkeypatch, k, ids):
     got = [(x["query_id"], x["id"], x["sim"] + 0.0, x["rank"]) for x in retrieval.nearest(*frames, k).collect()]
     assert sorted(got) == sorted(want)
     assert retrieval.nearest(frames[0].limit(0), frames[1], k).collect() == [] == retrieval.nearest(frames[0], frames[1].limit(0), k).collect()
+
+
+def test_nearest_of_copies_is_nearest(spark, monkeypatch):
+    """Equal vectors on both sides, opposite ones and ties between classes; every class is compared once."""
+    from pyspark.sql import functions as F
+
+    from tessella.operators import retrieval
+
+    v = lambda i: [[1.0, 0.0], [0.0, 1.0], [0.6, 0.8], [0.8, 0.6], [-1.0, 0.0]][i % 5]
+    corpus = spark.createDataFrame([(i * 7 % 101, v(i)) for i in range(100)] + [(500, None)], "id long, vector array<float>")
+    queries = spark.createDataFrame([(i, v(i * 3)) for i in range(40)] + [(99, None)], "query_id long, vector array<float>")
+    want = {k: sorted(retrieval.nearest(queries, corpus, k).collect()) for k in (5, 30)}
+    compared, real = [], retrieval.nearest
+    monkeypatch.setattr(retrieval, "nearest", lambda q, c, *rest: compared.append((q.count(), c.count())) or real(q, c, *rest))
+    for k, rows in want.items():
+        got = retrieval.nearest_of_copies(queries, corpus, k).select("query_id", "id", "sim", "rank")
+        assert sorted(got.collect()) == rows
+        assert got.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") != k).count() == 0
+    assert set(compared) == {(5, 5)}
