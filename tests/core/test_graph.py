@@ -57,3 +57,32 @@ def test_edges_of_one_relation_read_only_their_tables(spark):
     assert {f.rpartition("/")[2] for f in got.inputFiles()} == {"lineitem.parquet"}
     every = fixtures.kg_edges(spark, "/root/testdata/sf0.001").where("relation = 'indication'")
     assert sorted(got.collect()) == sorted(every.collect())
+
+
+def test_capped_paths_are_counted_by_their_middles(spark):
+    """All paths are counted before one is made, through one entity and several, with repeated edges."""
+    a = spark.range(60).selectExpr("'r1' as relation", "id as x_index", "'t' as x_type", "concat('a', id) as x_name", "id % 3 as y_index", "'t' as y_type", "concat('m', id % 3) as y_name")
+    b = spark.range(40).selectExpr("'r2' as relation", "id % 2 as x_index", "'t' as x_type", "concat('m', id % 2) as x_name", "1000 + id as y_index", "'t' as y_type", "concat('c', id) as y_name")
+    edges, patterns = a.unionByName(a.limit(1)).unionByName(b), [("p", "t", "r1", "t", "r2", "t"), ("none", "t", "r2", "t", "r1", "t")]
+    paths = graph.two_hop_paths(edges, patterns)
+    sizes = {r["pattern"]: r["n"] for r in graph.path_middles(edges, patterns).groupBy("pattern").agg(F.sum(F.col("n1") * F.col("n2")).alias("n")).collect()}
+    assert sizes == {"p": paths.count()} and sizes["p"] > 800
+    for limit in (50, 5000):
+        got = graph.capped_paths(edges, limit, patterns=patterns).select("i0", "i1", "i2").collect()
+        assert sorted(got) == sorted(graph.cap_paths(paths, limit).select("i0", "i1", "i2").collect())
+    pri = spark.createDataFrame([("c0",), ("a3",)], "name string")
+    got = graph.capped_paths(edges, 30, pri, patterns).select("i0", "i1", "i2").collect()
+    assert sorted(got) == sorted(graph.cap_paths(paths, 30, pri).select("i0", "i1", "i2").collect())
+    # A number that is too high, as with all paths ahead of the rest, only raises the bound.
+    assert graph.cap_paths(paths, 30, sizes={"p": 10**5, "none": 5}).count() == 30
+
+
+def test_ranked_groups_take_one_shuffle(spark):
+    edges = spark.range(1000).selectExpr("'drug' as x_type", "'indication' as relation", "concat('x', id % 90) as x_name", "id as y_index", "concat('y', id) as y_name", "'disease' as y_type")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = graph.neighbor_hyperedges(edges)
+        assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        assert got.count() == 90 and got.first()["neighbors"] is not None
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
