@@ -19,7 +19,8 @@ LETTERS = "ABCDEFGHIJ"
 
 def rows_of(spark, sf_dir, kind: str) -> DataFrame:
     """Rows of a kind from the parts, with a first output of each form and a second one."""
-    i = items(spark, sf_dir).drop("gold")
+    # Parsing is slow for the bytes it reads: a small file, or one with few row groups, would be few tasks.
+    i = items(spark, sf_dir).drop("gold").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "item_id")
     k = F.col("item_id")
     said = F.substring(F.lit(LETTERS), (k * 7 % 10 + 1).cast("int"), F.lit(1))
     pick = lambda *forms: F.element_at(F.array(*forms), (k % len(forms) + 1).cast("int"))

@@ -23,3 +23,11 @@ def test_grounding_has_stop_words_of_its_own(spark):
     rows = [("patients associated including often through heart", "patients associated including often through lungs", False), ("heart valve repair", "the heart valve repair works", True)]
     df = spark.createDataFrame(rows, "a string, b string, want boolean")
     assert [r["got"] for r in df.select(rewards.grounded(F.col("a"), F.col("b")).alias("got")).collect()] == [r[2] for r in rows]
+
+
+def test_items_of_one_file_are_dealt_to_all_tasks(spark):
+    from tessella.plans import adapter_queries
+
+    for kind in adapter_queries.ADAPTERS:
+        rows = adapter_queries.rows_of(spark, "/root/testdata/sf0.001", kind)
+        assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
