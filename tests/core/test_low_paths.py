@@ -20,6 +20,7 @@ def test_digests_of_all_pairs():
 def test_paths_of_a_hot_middle_are_not_made_as_rows(spark, monkeypatch):
     monkeypatch.setattr(graph, "HEADS", 40)
     monkeypatch.setattr(graph, "TAILS", 30)
+    monkeypatch.setattr(graph, "LISTED", 1)
     name = lambda x, n: F.when(F.col(x) % n == 0, F.lit(None)).when(F.col(x) % 7 == 0, F.lit("long" * 20)).otherwise(F.concat(F.lit("é"), F.col(x).cast("string")))
     edge = lambda n, r, x, y: spark.range(n).select(F.lit(r).alias("relation"), x.cast("long").alias("x_index"), F.lit("t").alias("x_type"), y.cast("long").alias("y_index"), F.lit("t").alias("y_type"))
     i = F.col("id")
